@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import packing, tokens
+from . import mojibake, packing, tokens
 from .syntax import operator as syntax
 
 
@@ -29,5 +29,13 @@ def _p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(_p8(spark, d))
 
 
-QUERIES = {"p1_found": _p1, "p1_rates": _p1_rates, "p7_ids": _p7, "p8_containers": _p8, "p8_fill": _p8_fill}
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def _p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "documents")).select("doc_id", "chain", "lost", "repaired")
+
+
+QUERIES = {"p1_found": _p1, "p1_rates": _p1_rates, "p7_ids": _p7, "p8_containers": _p8, "p8_fill": _p8_fill, "p9_found": _p9, "p9_repaired": _p9_repaired}
 ORACLES: dict[str, str] = {}
