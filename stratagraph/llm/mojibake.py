@@ -188,8 +188,9 @@ def mentioned(text: str) -> set[int]:
         if not _HIGH.search(q) or len(q) < 2:
             continue
         for _, _, r in undo_once(q):
-            if len(r) < len(q) and len(r) <= 3 and any(abs(b - at) < 120 and b != at for b in (m.start() for m in re.finditer(re.escape(r), text))):
-                out.add(at)
+            near = [m.start() for m in re.finditer(re.escape(r), text) if abs(m.start() - at) < 120 and m.start() != at] if len(r) < len(q) and len(r) <= 3 else []
+            if near:
+                out.update([at, *near])
                 break
     return out
 
