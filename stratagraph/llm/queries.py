@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import mojibake, packing, tokens
+from . import mojibake, packing, provenance, tokens
 from .syntax import operator as syntax
 
 
@@ -17,6 +17,14 @@ def _p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "parsed_files"), table(spark, d, "projects"))
 
 
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "parsed_files"), table(spark, d, "thirdparty_files")).select("file_id").distinct()
+
+
+def _p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "parsed_files"), table(spark, d, "thirdparty_files"))
+
+
 def _p7(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -37,5 +45,5 @@ def _p9_repaired(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(table(spark, d, "documents")).select("doc_id", "chain", "lost", "repaired")
 
 
-QUERIES = {"p1_found": _p1, "p1_rates": _p1_rates, "p7_ids": _p7, "p8_containers": _p8, "p8_fill": _p8_fill, "p9_found": _p9, "p9_repaired": _p9_repaired}
+QUERIES = {"p1_found": _p1, "p1_rates": _p1_rates, "p6_found": _p6, "p6_kinds": _p6_kinds, "p7_ids": _p7, "p8_containers": _p8, "p8_fill": _p8_fill, "p9_found": _p9, "p9_repaired": _p9_repaired}
 ORACLES: dict[str, str] = {}
