@@ -33,9 +33,9 @@ def cyclic_core(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
 def on_cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node): nodes that reach themselves in one step or more."""
     core = cyclic_core(edges, src, dst)
-    after = core.select(F.col("src").alias("origin"), F.col("dst").alias("node"))
-    reach = closure(core, after.select("node"))
-    return after.join(reach, F.col("node") == F.col("seed")).where(reach["node"] == F.col("origin")).select(F.col("origin").alias("node")).distinct()
+    after = core.select(F.col("src").alias("origin"), F.col("dst").alias("via"))
+    reach = closure(core, core.select(F.col("dst").alias("node")))
+    return after.join(reach, (F.col("via") == F.col("seed")) & (F.col("node") == F.col("origin"))).select("node").distinct()
 
 
 def elementary_cycles(edges: DataFrame, max_len: int, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, reference
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+ORACLES = {**problems.ORACLES, **reference.ORACLES}
