@@ -6,6 +6,7 @@ character model of intact text. Neither the model nor how often each source and
 
 * E step: for each word with characters beyond ASCII, the log-likelihood ratio of every chain that can be undone; a record
   pools the ratios of its words, and its posterior adds the prior of its source and field.
+* Start: counts over the whole corpus tell which words some step back makes far more common; the first model leaves them out.
 * M step: the character model is counted again over the records as repaired by their posterior, and the priors of the
   chains over all records and of damage in each (source, field) are set from the posteriors, shrunk to the overall rate.
 
@@ -42,10 +43,13 @@ WRONG = "cp1252 latin-1 cp1250 cp1251 cp1253 cp1254 iso8859-2 iso8859-15 koi8-r
 MULTI = frozenset("utf-8 gb18030 big5 cp932 euc-jp euc-kr".split())
 BITS = 20
 _MASK = (1 << BITS) - 1
+SIZE = 2 << BITS  # two rows
 _FLOOR = 1e-7
 OTHER = "other"
+SUSPECT = 1.5  # mean log ratio of n-gram counts
 MARGIN = 2.5  # what a single word must gain before it counts
 _HIGH = re.compile(r"[^\x00-\x7f]")
+_CONTROL = re.compile(r"[\x80-\x9f]")
 _WORD = re.compile(r"[^ \t\r\n\f\v]{1,4000}")
 
 
@@ -96,23 +100,10 @@ def undo_once(word: str) -> Iterator[tuple[str, str, str]]:
             if true == wrong:
                 continue
             out = from_bytes(data, true)
-            if out is not None and out != word and not any("\x80" <= c <= "\x9f" for c in out):
+            if out is not None and out != word:
                 yield wrong, true, out
 
 
-def undoes_to_utf8(word: str) -> bool:
-    """Whether some decoder's bytes of the word are UTF-8: hardly ever so by chance."""
-    for wrong in WRONG:
-        data = to_bytes(word, wrong)
-        if data is not None and not data.isascii():
-            try:
-                if data.decode("utf-8") != word:
-                    return True
-            except UnicodeDecodeError:
-                pass
-    return False
-
-
 def undo(word: str, chain: str) -> str | None:
     for step in chain.split("|") if chain else ():
         wrong, true = step.split(">")
@@ -124,8 +115,13 @@ def undo(word: str, chain: str) -> str | None:
     return word
 
 
-def _slot(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & _MASK
+def _slots(gram: str) -> tuple[int, int]:
+    """The gram's places in the two rows of the table; the smaller count of the two is believed, so that a collision in one does no harm."""
+    raw = gram.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) & _MASK, (zlib.crc32(raw, 0x5BD1E995) & _MASK) + _MASK + 1
+
+
+_DIGITS = {ord(c): "0" for c in "123456789"}
 
 
 class CharModel:
@@ -138,7 +134,7 @@ class CharModel:
 
     @staticmethod
     def grams(word: str) -> Iterator[str]:
-        s = "\x02" + word + "\x03"
+        s = "\x02" + word.translate(_DIGITS) + "\x03"  # numbers are alike
         for i in range(1, len(s)):
             yield "1" + s[i]
             for n in range(1, 4):
@@ -155,7 +151,7 @@ class CharModel:
                 ctx = context[-n:]
                 seen = counts_of(counts, "c" + ctx)
                 # What a context has rarely seen is weighed down by the weight of one unseen case.
-                p += self.WEIGHTS[n] * counts_of(counts, str(n + 1) + ctx + c) / (seen + 1.0)
+                p += self.WEIGHTS[n] * min(seen, counts_of(counts, str(n + 1) + ctx + c)) / (seen + 1.0)
             got = math.log(p + _FLOOR)
             if len(self.known) > 1_000_000:
                 self.known.clear()
@@ -163,16 +159,36 @@ class CharModel:
         return got
 
     def logp(self, word: str) -> float:
-        s = "\x02" + word + "\x03"
+        s = "\x02" + word.translate(_DIGITS) + "\x03"
         char = self.char
         return sum(char(s[max(0, i - 3) : i], s[i]) for i in range(1, len(s)))
 
+    def commonness(self, word: str) -> float:
+        """Mean log count of the word's 4-grams, which repeated damage can't raise over that of the intact form as it can the conditional odds."""
+        s = "\x02" + word.translate(_DIGITS) + "\x03"
+        grams = [f"{min(i, 3) + 1}{s[max(0, i - 3) : i + 1]}" for i in range(1, len(s))]
+        return sum(math.log1p(counts_of(self.counts, g)) for g in grams) / len(grams)
+
+    def suspect(self, word: str) -> bool:
+        """Whether some step back makes the word far more common in the whole corpus."""
+        if len(word) < 2:
+            return False
+        here = self.commonness(word) + SUSPECT
+        for _, true, fixed in undo_once(word):
+            if _CONTROL.search(fixed) and true != "utf-8":
+                continue
+            common = self.commonness(fixed.replace("\ufeff", ""))
+            if common > here or (true == "utf-8" and common > here - SUSPECT - 0.5):
+                return True
+        return False
+
     def has(self, c: str) -> bool:
         return c < "\x80" or counts_of(self.counts, "1" + c) > 0
 
 
 def counts_of(counts: np.ndarray, gram: str) -> float:
-    return float(counts[_slot(gram)])
+    a, b = _slots(gram)
+    return float(min(counts[a], counts[b]))
 
 
 _QUOTED = re.compile(r"([\"'`‘“«„])([^\s\"'`‘’“”«»]{1,12})([\"'`’”»“])")
@@ -220,7 +236,7 @@ class Judge:
 
     def _word(self, word: str) -> tuple[tuple[str, float], ...]:
         here = self.model.logp(word)
-        if here > -2.0 * len(word) - 2:
+        if here > -6.0:  # no chain could gain enough
             return ()
         out: dict[str, float] = {}
         seen, level = {word}, [("", word)]
@@ -229,9 +245,10 @@ class Judge:
             for chain, text in level:
                 for wrong, true, fixed in undo_once(text):
                     name = f"{chain}|{wrong}>{true}" if chain else f"{wrong}>{true}"
-                    known = sum(map(self.model.has, fixed)) / len(fixed)
-                    if known > 0.9:
-                        gain = self.model.logp(fixed) - here
+                    plain = fixed.replace("\ufeff", "")  # a byte order mark belongs to no word
+                    known = sum(map(self.model.has, plain)) / max(1, len(plain))
+                    if known > 0.9 and not _CONTROL.search(plain):
+                        gain = self.model.logp(plain) - here
                         # A further step must explain more than the chain without it does.
                         if gain > (out.get(chain, 0.0) + 2 * MARGIN if chain else 0.0):
                             out[name] = gain
@@ -285,19 +302,32 @@ def _gram_schema() -> T.StructType:
     return T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("c", T.DoubleType())])
 
 
-def _model(rows: DataFrame, first: bool = False) -> CharModel:
-    """The model of (text) rows: counted in every task into a table of fixed size, then added up. At first, words that can be undone to UTF-8 are left out."""
+def _model(rows: DataFrame, corpus=None) -> CharModel:
+    """The model of (text) rows: counted in every task into a table of fixed size, then added up.
+
+    With the counts of the whole corpus (a broadcast), words that some step back makes far more common are left out: else the
+    model would learn the damage that repeats itself, and take it for a language of its own.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(_MASK + 2)
+        table = np.zeros(SIZE + 1)
         words: Counter[str] = Counter()
+        known: dict[str, bool] = {}
+        whole = CharModel(*corpus.value) if corpus is not None else None
 
         def pour() -> None:
             for w, n in words.items():
-                if first and undoes_to_utf8(w):
-                    continue
+                if whole is not None:
+                    if w not in known:
+                        if len(known) > 300_000:
+                            known.clear()
+                        known[w] = whole.suspect(w)
+                    if known[w]:
+                        continue
                 for g in CharModel.grams(w):
-                    table[_slot(g)] += n
+                    a, b = _slots(g)
+                    table[a] += n
+                    table[b] += n
                 table[-1] += n * (len(w) + 1)
             words.clear()
 
@@ -311,9 +341,9 @@ def _model(rows: DataFrame, first: bool = False) -> CharModel:
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at])], names=["slot", "c"])
 
-    summed = rows.mapInArrow(count, _gram_schema()).groupBy("slot").agg(F.sum("c").alias("c")).toPandas()  # at most 2**BITS + 1 rows
-    counts = np.zeros(_MASK + 1, np.float32)
-    inside = summed["slot"].to_numpy() <= _MASK
+    summed = rows.mapInArrow(count, _gram_schema()).groupBy("slot").agg(F.sum("c").alias("c")).toPandas()  # at most SIZE + 1 rows
+    counts = np.zeros(SIZE, np.float32)
+    inside = summed["slot"].to_numpy() < SIZE
     counts[summed["slot"].to_numpy()[inside]] = summed["c"].to_numpy()[inside]
     total = float(summed["c"].to_numpy()[~inside].sum())
     return CharModel(counts, total)
@@ -391,17 +421,19 @@ def _priors(judged: DataFrame) -> tuple[float, dict[str, float]]:
     return min(max((total + 1) / (n + 50), 1e-4), 0.5), {c: (w + 0.5) / known for c, w in weight.items()} | {OTHER: 0.5 / known}
 
 
-def restore(documents: DataFrame, rounds: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", field: str = "kind", least: float = 3.0) -> DataFrame:
-    """(key, chain, gain, lost, odds, text, repaired) of all records with log odds over ``least`` (3: twenty to one); an empty chain with lost > 0 can't be undone."""
+def restore(documents: DataFrame, rounds: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", field: str = "kind", least: float = 1.5) -> DataFrame:
+    """(key, chain, gain, lost, odds, text, repaired) of all records with log odds over ``least`` (1.5: over four to one); an empty chain with lost > 0 can't be undone."""
     docs = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"), F.col(f"`{field}`").alias("field"))
     high = docs.where(F.col("text").rlike(r"[^\x00-\x7f]"))  # no chain changes plain ASCII
     spark, rate, shares = documents.sparkSession, 0.03, {}
-    shared = _share(spark, _model(high.select("text"), first=True), shares)
+    whole = _model(high.select("text"))
+    corpus = spark.sparkContext.broadcast((whole.counts, whole.total))  # a table of fixed size
+    shared = _share(spark, _model(high.select("text"), corpus), shares)
     for _ in range(rounds - 1):
         judged = checkpoint(_posterior(_evidence(high, shared), rate))
         rate, shares = _priors(judged)
         # Records with lost characters say nothing about intact text.
-        model = _model(_repaired(judged, shared, least).where("lost = 0").select("repaired"))
+        model = _model(_repaired(judged, shared, least).where("lost = 0").select("repaired"), corpus)
         shared = _share(spark, model, shares)
     judged = checkpoint(_posterior(_evidence(high, shared), rate).where(F.col("odds") > least))
     return _repaired(judged, shared, least).select(F.col("doc_id").alias(key), "chain", "gain", "lost", "odds", "text", "repaired")
