@@ -15,7 +15,7 @@ from collections import defaultdict
 
 OPEN = {"P": "(", "S": "[", "B": "{", "I": "INDENT"}
 CLOSE = {"P": ")", "S": "]", "B": "}", "I": "DEDENT"}
-START, END = "^", "$"
+START, END = "<start>", "<end>"
 
 
 def _parse(text: str) -> dict[str, tuple]:

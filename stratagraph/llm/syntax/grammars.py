@@ -193,7 +193,7 @@ targ = annos '?' < < 'extends' | 'super' > type >? | type
 tparams = '<' tparam < ',' tparam >* '>'
 tparam = annos ident < 'extends' type < '&' type >* >?
 cls = member*
-enum = < econst < ',' econst >* >? ','? < ';' cls >? | cls
+enum = < econst < ',' econst >* >? ','? < ';' cls >? !. | cls
 econst = annos ident P.args? B.cls?
 member = ';' | 'static'? B.block | mods < typedecl | tparams? ident P.params throws? B.block | ident B.block | tparams? < type | 'void' > ident < P.params dims throws? < B.block | 'default' elval ';' | ';' > | vardims < ',' ident vardims >* ';' > >
 throws = 'throws' types
@@ -401,7 +401,7 @@ asname = ident < 'as' ident >?
 dotas = dotted < 'as' ident >?
 dotted = ident < '.' ident >*
 targets = starx < ',' starx >* ','?
-assign = star < ':' expr < '=' rhs >? | < '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**=' > rhs | < '=' rhs >* >
+assign = 'yield' < 'from' expr | star >? | star < ':' expr < '=' rhs >? | < '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**=' > rhs | < '=' rhs >* >
 rhs = 'yield' < 'from' expr | star >? | star
 star = starx < ',' starx >* ','?
 starx = '*' bin | named

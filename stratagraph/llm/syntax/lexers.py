@@ -270,7 +270,7 @@ def _python(text: str) -> Rows:
     stack: list[str] = []
     indents, blocks, waiting = [0], [], None
     alts = [(0, 0)]
-    i, n, prev = (1 if text.startswith("\ufeff") else 0), len(text), ""
+    i, n, prev, decorator = (1 if text.startswith("\ufeff") else 0), len(text), "", False
     words = _WORDS["python"]
 
     def err() -> Rows:
@@ -329,7 +329,7 @@ def _python(text: str) -> Rows:
             continue
         if kind == "nl":
             if not stack:
-                out.append(["nl", 0, True])
+                out.append(["nl", 0, not decorator])  # a decorator and what it decorates are one statement
                 prev, at_line = "nl", True
             continue
         if kind in ("tri", "q"):
@@ -352,6 +352,10 @@ def _python(text: str) -> Rows:
             sym = value
         else:
             sym = kind
+        if prev == "line":
+            decorator = sym == "@"
+            if sym in ("elif", "else", "except", "finally") and out and out[-1][0] == "nl":
+                out[-1][2] = False
         prev = sym
         if sym in ("(", "[", "{"):
             stack.append(sym)

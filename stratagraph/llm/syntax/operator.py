@@ -166,13 +166,14 @@ def flagged_rows(toks: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def python_parses(source: pd.Series) -> pd.Series:
+    import ast
     import warnings
 
     def ok(s: str) -> bool:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             try:
-                compile(s, "file", "exec", dont_inherit=True)
+                ast.parse(s)
             except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
                 return False
         return True
