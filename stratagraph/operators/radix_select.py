@@ -24,48 +24,29 @@ from pyspark.sql import functions as F
 _SIGN = -(1 << 63)
 
 
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
 def order_key(value: Column, kind: str) -> Column:
-    """A bigint that sorts, read as unsigned, like the value: integers with the sign bit flipped, doubles by their bits."""
-    if kind in ("tinyint", "smallint", "int", "bigint"):
+    """A bigint that sorts, read as unsigned, like the value: integers with the sign bit flipped, doubles by their IEEE-754 bits, all of them flipped below zero."""
+    if kind in _INTEGERS:
         return value.cast("bigint").bitwiseXOR(F.lit(_SIGN))
-    v = value.cast("double") + F.lit(0.0)
-    # conv() reads the IEEE-754 bits that hex() of a double does not give; exponent and mantissa are computed instead.
-    a = F.abs(v)
-    e0 = F.floor(F.log2(F.when(a > 0, a).otherwise(F.lit(1.0)))).cast("int")
-    e0 = F.least(F.greatest(e0, F.lit(-1022)), F.lit(1023))
-    scaled = a / F.pow(F.lit(2.0), e0.cast("double"))
-    e = F.when(scaled >= 2.0, e0 + 1).when((scaled < 1.0) & (e0 > -1022), e0 - 1).otherwise(e0)
-    e = F.least(F.greatest(e, F.lit(-1022)), F.lit(1023))
-    # Two steps keep each power of two within the range of a double.
-    half = F.floor(e / F.lit(2)).cast("int")
-    m = a / F.pow(F.lit(2.0), half.cast("double")) / F.pow(F.lit(2.0), (e - half).cast("double"))
-    normal = m >= 1.0
-    frac = ((m - F.when(normal, F.lit(1.0)).otherwise(F.lit(0.0))) * F.lit(float(1 << 52))).cast("bigint")
-    bits = F.when(a == 0.0, F.lit(0).cast("bigint")).when(a == F.lit(float("inf")), F.lit(0x7FF << 52).cast("bigint")).otherwise(
-        F.shiftleft(F.when(normal, e + F.lit(1023)).otherwise(F.lit(0)).cast("bigint"), 52) + frac
-    )
-    return F.when(v < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseOR(F.lit(_SIGN)))
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("bigint")
+    return F.transform(F.array(bits), lambda b: F.when(b >= 0, b.bitwiseXOR(F.lit(_SIGN))).otherwise(F.bitwise_not(b)))[0]
 
 
 def from_key(key: Column, kind: str) -> Column:
     """The value of an order key."""
-    if kind in ("tinyint", "smallint", "int", "bigint"):
+    if kind in _INTEGERS:
         return key.bitwiseXOR(F.lit(_SIGN))
-    neg = key >= 0  # the sign bit is set for positive values
-    bits = F.when(neg, F.bitwise_not(key)).otherwise(key.bitwiseAND(F.lit((1 << 63) - 1))).bitwiseAND(F.lit((1 << 63) - 1))
-    e = F.shiftrightunsigned(bits, 52).cast("int")
-    frac = bits.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / F.lit(float(1 << 52))
-    exp = F.when(e == 0, F.lit(-1022)).otherwise(e - 1023)
-    half = F.floor(exp / F.lit(2)).cast("int")
-    size = (frac + F.when(e == 0, F.lit(0.0)).otherwise(F.lit(1.0))) * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (exp - half).cast("double"))
-    size = F.when(e == 0x7FF, F.lit(float("inf"))).otherwise(size)
-    return F.when(neg, -size).otherwise(size)
+    bits = F.when(key < 0, key.bitwiseXOR(F.lit(_SIGN))).otherwise(F.bitwise_not(key))
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
 
 
 def _keys(df: DataFrame, group: str, value: str) -> tuple[DataFrame, str]:
     kind = dict(df.dtypes)[value]
     v = F.col(f"`{value}`")
-    keep = v.isNotNull() if kind in ("tinyint", "smallint", "int", "bigint") else v.isNotNull() & ~F.isnan(v.cast("double"))
+    keep = v.isNotNull() if kind in _INTEGERS else v.isNotNull() & ~F.isnan(v.cast("double"))
     return df.where(keep).select(F.col(f"`{group}`").alias("grp"), order_key(v, kind).alias("k")), kind
 
 
@@ -103,10 +84,8 @@ def percentiles(df: DataFrame, group: str, value: str, ps: Sequence[float], digi
 
 def sketch(df: DataFrame, group: str, part: str, value: str, bits: int = 24) -> DataFrame:
     """(grp, part, d, c): counts of the leading ``bits`` bits for each part (day, snapshot ...)."""
-    kind = dict(df.dtypes)[value]
     v = F.col(f"`{value}`").cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(F.col(f"`{group}`").alias("grp"), F.col(f"`{part}`").alias("part"), order_key(v, "double").alias("k"))
-    del kind
     return rows.groupBy("grp", "part", F.shiftrightunsigned(F.col("k"), 64 - bits).alias("d")).agg(F.count(F.lit(1)).alias("c"))
 
 
