@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def go_mod(files: DataFrame) -> DataFrame:
     """(path, kind, module, version, indirect) of go.mod files (path, text): module, go, require and replace lines."""
-    v = files.select("path", F.explode(F.split("text", r"\r?\n")).alias("v")).select("path", F.trim("v").alias("v"))
+    v = files.select("path", F.explode(F.split("text", r"\r?\n")).alias("v")).select("path", F.regexp_replace("v", r"^\s+|\s+$", "").alias("v"))
     req = r"^(?:require )?([\w.\-/~]+) (v[\w.\-+]+)(\s*// indirect)?"
     kind = F.when(F.col("v").startswith("module "), "module").when(F.col("v").rlike(r"^go \d"), "go").when(F.col("v").contains("=>"), "replace").when(F.col("v").rlike(req), "require")
     module = F.when(kind == "module", F.regexp_extract("v", r"^module (\S+)", 1)).when(kind == "replace", F.regexp_extract("v", r"^(?:replace )?(\S+)", 1)).when(kind == "require", F.regexp_extract("v", req, 1)).otherwise("")
@@ -24,7 +24,7 @@ def front_matter(files: DataFrame) -> DataFrame:
     head = F.regexp_extract("text", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
     field = lambda k: F.trim(F.regexp_extract(head, rf"(?m)^{k}:[ \t]*(.*)$", 1))
     globs = F.filter(F.split(F.regexp_replace(field("globs"), r"[\[\]\"']", ""), r"\s*,\s*"), lambda x: x != "")
-    return files.select("path", field("description").alias("description"), globs.alias("globs"), (field("alwaysApply") == "true").alias("always"), F.trim(F.regexp_replace("text", r"(?s)^---\r?\n.*?\r?\n---\r?\n?", "")).alias("body"))
+    return files.select("path", field("description").alias("description"), globs.alias("globs"), (field("alwaysApply") == "true").alias("always"), F.regexp_replace(F.regexp_replace("text", r"(?s)^---\r?\n.*?\r?\n---\r?\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def desired_state(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:

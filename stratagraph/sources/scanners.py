@@ -203,7 +203,11 @@ def regex_calls(files: DataFrame) -> DataFrame:
 def anchors(files: DataFrame) -> DataFrame:
     """(path, kind, name): where a reader starts: main and init functions, HTTP handlers, commands, tagged config structs, test suites."""
     rules = (("main", r"(?m)^func (main)\("), ("init", r"(?m)^func (init)\("), ("http_handler", r"(?m)^func (?:\([^)]*\) )?(\w+)\(\w+ http\.ResponseWriter, \w+ \*http\.Request\)"), ("command", r'&cobra\.Command\{\s*Use:\s*"(\w+)'), ("config", r"(?ms)^type (\w+) struct \{[^}]*?`(?:json|yaml|toml|mapstructure):"), ("test_suite", r"(?m)^func (Test\w*)\(\w+ \*testing\.[MT]\)"), ("main", r"(?m)^if __name__ == ['\"](__main__)['\"]:"))
-    all_ = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("name"))) for k, p in rules])
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+    all_ = F.concat(*[found(k, p) for k, p in rules])
     return files.select("path", F.explode(all_).alias("a")).select("path", "a.kind", "a.name").distinct()
 
 
@@ -240,7 +244,7 @@ def split_types(signature: Column) -> Column:
     chars = F.split(signature, "")
     zero = F.struct(F.lit(0).alias("d"), F.lit("").alias("s"))
     step = lambda acc, c: F.struct((acc["d"] + F.when(c.isin("(", "[", "{", "<"), 1).when(c.isin(")", "]", "}", ">"), -1).otherwise(0)).alias("d"), F.concat(acc["s"], F.when((c == ",") & (acc["d"] == 0), F.lit("\u0001")).otherwise(c)).alias("s"))
-    return F.filter(F.transform(F.split(F.aggregate(chars, zero, step)["s"], "\u0001"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.aggregate(chars, zero, step)["s"], "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def go_signature(signature: Column) -> tuple[Column, Column]:
