@@ -92,11 +92,14 @@ def permissible_pairs(spark: SparkSession) -> DataFrame:
 
 
 def match_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose units are no productions, of (row, lang, units: [(group, unit, [(pos, sym)])])."""
+    """Rows that are misfits already or whose units are no productions, of (row, lang, misfit, units: [(group, unit, positions, symbols)])."""
     known: dict[tuple, tuple | None] = {}
     for batch in batches:
         bad = []
-        for row, lang, units in zip(batch.column("row").to_pylist(), batch.column("lang").to_pylist(), batch.column("units")):
+        for row, lang, misfit, units in zip(batch.column("row").to_pylist(), batch.column("lang").to_pylist(), batch.column("misfit").to_pylist(), batch.column("units")):
+            if misfit:
+                bad.append(row)
+                continue
             g = grammar(LANGUAGES[lang])
             groups: dict[int, list[tuple[list[int], list[str]]]] = {}
             for u in sorted(units.as_py(), key=lambda u: (u["grp"], u["unit"])):
@@ -128,9 +131,9 @@ def match_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def flagged_rows(toks: DataFrame) -> DataFrame:
     """(row) of files that break one of the three rules, from their token rows."""
-    spark = toks.sparkSession
-    pairs = toks.join(F.broadcast(permissible_pairs(spark)), ["lang", "before", "sym"], "left_anti").select("row").distinct()
-
+    # The anti-join with the permissible pairs, as an outer join: what it misses stays with its file, and tokens are read once.
+    pairs = F.broadcast(permissible_pairs(toks.sparkSession).withColumn("known", F.lit(True)))
+    toks = toks.join(pairs, ["lang", "before", "sym"], "left").select("row", "lang", "pos", "sym", "d", "sep", F.col("known").isNull().alias("stray"))
     fits = F.create_map(*[F.lit(x) for k in OPEN for x in (CLOSE[k], OPEN[k])])
     by_pos = Window.partitionBy("row").orderBy("pos")
     depth = F.sum("d").over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
@@ -141,7 +144,7 @@ def flagged_rows(toks: DataFrame) -> DataFrame:
     closing = F.struct((F.col("depth") + 1).alias("level"), F.lit(True).alias("edge"))
     plain = F.struct(F.col("depth").alias("level"), F.lit(False).alias("edge"))
     levels = F.explode(F.when(F.col("d") > 0, F.array(around, inside)).when(F.col("d") < 0, F.array(closing)).otherwise(F.array(plain)))
-    rows = leveled.select("row", "lang", "pos", "sym", "d", "sep", levels.alias("l")).select("row", "lang", "pos", "sym", "d", "sep", "l.level", "l.edge")
+    rows = leveled.select("row", "lang", "pos", "sym", "d", "sep", "stray", levels.alias("l")).select("row", "lang", "pos", "sym", "d", "sep", "stray", "l.level", "l.edge")
     at_level = Window.partitionBy("row", "level").orderBy("pos")
     upto = at_level.rowsBetween(Window.unboundedPreceding, 0)
     edge_before = F.last(F.when(F.col("edge"), F.struct("sym", "d")), ignorenulls=True).over(at_level.rowsBetween(Window.unboundedPreceding, -1))
@@ -152,16 +155,15 @@ def flagged_rows(toks: DataFrame) -> DataFrame:
         F.col("edge"),
         F.when(F.col("d") > 0, F.coalesce(F.col("last_edge.d") > 0, F.lit(False))).otherwise(F.coalesce((F.col("last_edge.d") < 0) | (F.col("last_edge.sym") != fits[F.col("sym")]), F.lit(True))),
     ).otherwise((F.col("sym") == END) & (F.col("level") != 0))
-    unit = rows.withColumn("misfit", misfit).groupBy("row", "lang", "level", "unit").agg(
+    unit = rows.withColumn("misfit", misfit | F.col("stray")).groupBy("row", "lang", "level", "unit").agg(
         F.max("misfit").alias("misfit"),
         F.max(F.when(~F.col("edge"), F.coalesce("grp", F.lit(-1)))).alias("grp"),
         F.array_sort(F.collect_list(F.when(~F.col("edge") & (F.col("sym") != END), F.struct("pos", "sym")))).alias("t"),
     )
     unit = unit.withColumn("u", F.when(F.size("t") > 0, F.struct("grp", F.col("unit").cast("int").alias("unit"), F.col("t.pos").alias("poss"), F.array_join(F.col("t.sym"), " ").alias("syms"))))
     per_file = unit.groupBy("row", "lang").agg(F.max("misfit").alias("misfit"), F.collect_list("u").alias("units"))
-    nesting = per_file.where("misfit").select("row")
-    productions = per_file.where(~F.col("misfit")).select("row", "lang", "units").mapInArrow(match_units, "row long")
-    return pairs.unionByName(nesting).unionByName(productions).distinct()
+    # Files with a stray pair or a misfit bracket go through without their units; they need no match.
+    return per_file.select("row", "lang", "misfit", F.when(~F.col("misfit"), F.col("units")).alias("units")).mapInArrow(match_units, "row long")
 
 
 @F.pandas_udf(T.BooleanType())
