@@ -47,13 +47,11 @@ def current_components(spark: SparkSession, d: str) -> DataFrame:
 def _p4(spark: SparkSession, d: str) -> DataFrame:
     c = current_components(spark, d)
     probes = table(spark, d, "probe_results").select("probe_id", "kind", "fan_out").distinct()
-    parts = [
-        radix_select.percentiles(c, "language", "loc", PS).select(F.lit("loc").alias("measure"), "*"),
-        radix_select.percentiles(c, "language", "churn", PS).select(F.lit("churn").alias("measure"), "*"),
-        radix_select.percentiles(probes, "kind", "fan_out", PS).select(F.lit("fan_out").alias("measure"), "*"),
-    ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("measure", "grp", "p", "n", F.col("value").cast("bigint").alias("value"))
+    # All measures go through the same passes: the group is (measure, language or kind).
+    one = lambda m, g, v: F.struct(F.struct(F.lit(m).alias("measure"), F.col(g).alias("grp")).alias("key"), F.col(v).cast("bigint").alias("v"))
+    sizes = c.select(F.explode(F.array(one("loc", "language", "loc"), one("churn", "language", "churn"))).alias("x"))
+    rows = sizes.unionByName(probes.select(one("fan_out", "kind", "fan_out").alias("x"))).select("x.key", "x.v")
+    return radix_select.percentiles(rows, "key", "v", PS).select("grp.measure", "grp.grp", "p", "n", "value")
 
 
 def _p4_combined(spark: SparkSession, d: str) -> DataFrame:
