@@ -126,3 +126,14 @@ def test_heavy_names(spark):
     s = {(r["field"], r["fqn"]): r for r in heavy_keys.name_stats(df).collect()}
     assert s["callee", "hub"]["partners"] == 60 and s["callee", "rare"]["partners"] == 0 and s["caller", "c1"]["n"] == 41
     assert heavy_keys.heavy_names(df.limit(0)).isEmpty()
+
+
+def test_lookup_ways_agree(spark):
+    from stratagraph.runtime import global_rank, lookup
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else None, i) for i in range(200)] + [(900, "none", 1)], "id int, k string, v int")
+    table = spark.createDataFrame([("hot", 1), (None, 2)], "k string, w int")
+    a, b = (sorted(map(tuple, lookup(rows, table, ["k"], "id", limit=n).select("id", "w").collect())) for n in (10, 0))
+    assert a == b and (900, None) in a and (0, 2) in a and (1, 1) in a
+    ranked = global_rank(rows, ["v", "id"], "n").select("id", "v", "n").collect()
+    assert [r["n"] for r in sorted(ranked, key=lambda r: (r["v"], r["id"]))] == list(range(1, 202))
