@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import checkpoint
+from ..runtime import checkpoint, lookup
 
 #: Encodings that texts are written in, and decoders they are wrongly read with (fixed values).
 TRUE = "utf-8 cp1252 cp1250 cp1251 cp1253 cp1254 cp1257 iso8859-2 iso8859-5 iso8859-7 koi8-r cp866 cp437 cp850 mac-roman gb18030 big5 cp932 euc-jp euc-kr".split()
@@ -404,11 +404,12 @@ def _posterior(found: DataFrame, rate: float, shrink: float = 20.0) -> DataFrame
     """found plus (odds): log posterior odds of damage, with the prior of the record's source and field."""
     score = F.col("gain") + F.col("log_share")
     hit = F.when(F.col("lost") > 0, 1.0).when(F.col("chain") != "", 1 / (1 + F.exp(-(score + math.log(rate / (1 - rate)))))).otherwise(0.0)
-    groups = found.groupBy(F.col("source").alias("s2"), F.col("field").alias("f2")).agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("n"))
-    j = found.join(groups, F.col("source").eqNullSafe(F.col("s2")) & F.col("field").eqNullSafe(F.col("f2")), "left")
+    found = checkpoint(found)  # read twice
+    groups = found.groupBy("source", "field").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("n"))
+    j = lookup(found, groups, ["source", "field"], "doc_id")
     odds = F.when(F.col("chain") != "", score + _logit((F.coalesce("hits", F.lit(0.0)) + shrink * rate) / (F.coalesce("n", F.lit(0)) + shrink))).otherwise(F.lit(-99.0))
     # A lost character is no matter of odds.
-    return j.withColumn("odds", F.when(F.col("lost") > 0, F.greatest(odds, F.lit(9.0))).otherwise(odds)).drop("s2", "f2", "hits", "n")
+    return j.withColumn("odds", F.when(F.col("lost") > 0, F.greatest(odds, F.lit(9.0))).otherwise(odds)).drop("hits", "n")
 
 
 def _priors(judged: DataFrame) -> tuple[float, dict[str, float]]:
@@ -430,10 +431,10 @@ def restore(documents: DataFrame, rounds: int = 3, key: str = "doc_id", text: st
     corpus = spark.sparkContext.broadcast((whole.counts, whole.total))  # a table of fixed size
     shared = _share(spark, _model(high.select("text"), corpus), shares)
     for _ in range(rounds - 1):
-        judged = checkpoint(_posterior(_evidence(high, shared), rate))
+        judged = _posterior(_evidence(high, shared), rate)
         rate, shares = _priors(judged)
         # Records with lost characters say nothing about intact text.
         model = _model(_repaired(judged, shared, least).where("lost = 0").select("repaired"), corpus)
         shared = _share(spark, model, shares)
-    judged = checkpoint(_posterior(_evidence(high, shared), rate).where(F.col("odds") > least))
+    judged = _posterior(_evidence(high, shared), rate).where(F.col("odds") > least)
     return _repaired(judged, shared, least).select(F.col("doc_id").alias(key), "chain", "gain", "lost", "odds", "text", "repaired")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import checkpoint
+from ..runtime import checkpoint, lookup
 from .repair_grammar import global_rules, infer, lengths, occurrences, tokens
 
 BLOCK = 20_000
@@ -187,7 +187,7 @@ def judged(files: DataFrame, thirdparty: DataFrame) -> DataFrame:
     theirs = facts(known).select(F.explode("rules").alias("rule")).distinct().withColumn("known", F.lit(1))
     uses = f.select("row", F.explode(F.arrays_zip("rules", "sizes")).alias("r")).select("row", F.col("r.rules").alias("rule"), F.col("r.sizes").alias("size"))
     size = uses.groupBy("row", "rule").agg(F.sum("size").alias("size"), F.max("size").alias("one"))
-    share = size.join(theirs, "rule", "left").groupBy("row").agg((F.sum(F.when((F.col("known") == 1) & (F.col("one") >= 5), F.col("size")).otherwise(0)) / F.sum("size")).alias("copied"))
+    share = lookup(size, theirs, ["rule"], "row").groupBy("row").agg((F.sum(F.when((F.col("known") == 1) & (F.col("one") >= 5), F.col("size")).otherwise(0)) / F.sum("size")).alias("copied"))
     libs = thirdparty.select(F.lower("lib").alias("owner")).where(F.col("owner").isNotNull()).distinct().withColumn("is_lib", F.lit(True))
     j = f.drop("rules", "sizes").join(share, "row", "left").join(libs, "owner", "left")
     where = lambda pattern: F.coalesce(F.exists(F.split("paths", "\n"), lambda p: p.rlike(pattern)), F.lit(False))
