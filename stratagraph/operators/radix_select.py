@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint
+
 _SIGN = -(1 << 63)
 
 
@@ -78,7 +80,8 @@ def percentiles(df: DataFrame, group: str, value: str, ps: Sequence[float], digi
             found = hist.join(t, F.col("grp").eqNullSafe(F.col("g2")) & (F.col("prefix") == F.col("p2")))
         found = found.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
         head = F.col("d") if targets is None else F.shiftleft(F.col("prefix"), digit_bits).bitwiseOR(F.col("d"))
-        targets = found.select("grp", "p", "n", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), head.alias("prefix"))
+        # A row for each group and target: kept, so that no pass is made again for the next.
+        targets = checkpoint(found.select("grp", "p", "n", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), head.alias("prefix")))
     return targets.select("grp", "p", "n", from_key(F.col("prefix"), kind).alias("value"))
 
 
