@@ -11,6 +11,8 @@ partners; repeated rows count as delivered; an empty table gives no rows; extra
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def key_states(calls: DataFrame, fields: tuple[str, ...] = ("callee", "caller"))
 def heavy_names(calls: DataFrame, share: float = 0.01) -> DataFrame:
     """(field, fqn) of names with at least ``share`` of all rows as delivered."""
     total = calls.agg(F.count(F.lit(1)).alias("total"))  # one row
-    return key_states(calls).crossJoin(F.broadcast(total)).where(F.col("n") >= F.lit(share) * F.col("total")).select("field", "fqn")
+    return key_states(calls).crossJoin(F.broadcast(total)).where(F.col("n") >= F.lit(Decimal(str(share))) * F.col("total")).select("field", "fqn")
 
 
 def name_stats(calls: DataFrame) -> DataFrame:

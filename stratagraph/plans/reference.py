@@ -66,6 +66,11 @@ def _text(c: str):
     return F.array_join(c, ",").alias(c)
 
 
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    """Doubles to six places, as in the SQL: the two engines may add up in another order."""
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
 # -- edges and degrees -----------------------------------------------------------------------------------------
 query("component_edges", f"WITH {CE} SELECT * FROM ce")(bind.component_edges)
 query("fan_in", f"WITH {E} SELECT target AS node, count(*) AS fan_in FROM e GROUP BY 1")(lambda s, d: graph.fan_in(bind.call_edges(s, d), "source", "target"))
@@ -86,9 +91,9 @@ query(
     f"""WITH {E}, {N}, o AS (SELECT source AS fqn, count(*) AS fan_out, count(DISTINCT {pkg("target")}) AS boundaries FROM e GROUP BY 1), i AS (SELECT target AS fqn, count(*) AS fan_in FROM e GROUP BY 1),
 x AS (SELECT source AS fqn, count(*) FILTER ({pkg("target")} <> n.package) AS cross_pkg FROM e JOIN n ON n.fqn = source GROUP BY 1),
 c AS (SELECT a.source AS fqn, count(DISTINCT a.target) AS circuits FROM e a JOIN e b ON a.source = b.target AND a.target = b.source GROUP BY 1)
-SELECT n.fqn, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, CASE WHEN coalesce(fan_in, 0) + coalesce(fan_out, 0) > 0 THEN coalesce(fan_out, 0)::DOUBLE / (coalesce(fan_in, 0) + coalesce(fan_out, 0)) ELSE 0.0 END AS instability,
+SELECT n.fqn, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, CASE WHEN coalesce(fan_in, 0) + coalesce(fan_out, 0) > 0 THEN round(coalesce(fan_out, 0)::DOUBLE / (coalesce(fan_in, 0) + coalesce(fan_out, 0)), 6) ELSE 0.0::DOUBLE END AS instability,
 coalesce(cross_pkg, 0) AS cross_pkg, coalesce(circuits, 0) AS circuits, coalesce(boundaries, 0) AS boundaries FROM n LEFT JOIN o USING (fqn) LEFT JOIN i USING (fqn) LEFT JOIN x USING (fqn) LEFT JOIN c USING (fqn)""",
-)(lambda s, d: primitives.probe_all(bind.symbol_nodes(s, d), bind.call_edges(s, d)))
+)(lambda s, d: _round(primitives.probe_all(bind.symbol_nodes(s, d), bind.call_edges(s, d)), "instability"))
 query(
     "probe_types",
     f"""WITH {E}, {N}, t AS (SELECT fqn FROM n WHERE kind IN ('struct', 'interface')), x AS (SELECT source AS m, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e), y AS (SELECT m, sum(o) AS o, sum(i) AS i FROM x GROUP BY 1),
@@ -146,10 +151,14 @@ def _convergence(s: SparkSession, d: str) -> DataFrame:
 query("islands", f"WITH RECURSIVE {SE}, {N}, {ENTRY}, r AS (SELECT fqn AS node FROM ent UNION SELECT target FROM r JOIN se ON node = source) SELECT fqn FROM n WHERE fqn NOT IN (SELECT node FROM r)")(
     lambda s, d: primitives.islands(bind.symbol_nodes(s, d), bind.call_edges(s, d))
 )
-_WCC = "RECURSIVE {e}, u AS (SELECT source AS a, target AS b FROM {t} UNION SELECT target, source FROM {t}), r AS (SELECT a AS node, a AS m FROM u UNION SELECT u.b, least(r.m, u.b) FROM r JOIN u ON r.node = u.a WHERE least(r.m, u.b) <= r.m)"
 
 
-@query("isolate")
+@query(
+    "isolate",
+    f"""WITH RECURSIVE {SE}, h AS (SELECT source AS hub FROM se GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), nd AS (SELECT source AS x FROM se UNION SELECT target FROM se), u AS (SELECT source AS a, target AS b FROM se UNION SELECT target, source FROM se),
+v AS (SELECT * FROM u WHERE a <> (SELECT hub FROM h) AND b <> (SELECT hub FROM h)), r AS (SELECT x AS node, x AS m FROM nd UNION SELECT b, m FROM r JOIN u ON node = a WHERE m < b), q AS (SELECT x AS node, x AS m FROM nd WHERE x <> (SELECT hub FROM h) UNION SELECT b, m FROM q JOIN v ON node = a WHERE m < b)
+SELECT (SELECT count(DISTINCT m) FROM (SELECT min(m) AS m FROM r GROUP BY node)) AS before, (SELECT count(DISTINCT m) FROM (SELECT min(m) AS m FROM q GROUP BY node)) AS after""",
+)
 def _isolate(s: SparkSession, d: str) -> DataFrame:
     e = bind.simple_call_edges(s, d)
     hub = e.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").first()[0]
@@ -268,7 +277,10 @@ _DEPTH = "dn AS (SELECT src AS node FROM dag UNION SELECT dst FROM dag), r AS (S
 query("import_depth", f"WITH RECURSIVE {DAG}, {_DEPTH} SELECT * FROM dep")(lambda s, d: cycles.import_depth(checkpoint(bind.component_dag(s, d))))
 query("import_depth_general")(lambda s, d: cycles.import_depth(_ce(s, d)))
 query("topological_levels", f"WITH RECURSIVE {DAG}, {_DEPTH} SELECT node, depth AS level FROM dep")(lambda s, d: cycles.topological_levels(checkpoint(bind.component_dag(s, d))))
-query("connected_components", None)(lambda s, d: graph.weak_components(bind.simple_call_edges(s, d), "source", "target"))
+query(
+    "connected_components",
+    f"WITH RECURSIVE {SE}, u AS (SELECT source AS a, target AS b FROM se UNION SELECT target, source FROM se), r AS (SELECT a AS node, a AS m FROM u UNION SELECT b, m FROM r JOIN u ON node = a WHERE m < b) SELECT node, min(m) AS label FROM r GROUP BY 1",
+)(lambda s, d: graph.weak_components(bind.simple_call_edges(s, d), "source", "target"))
 query(
     "impl_components",
     r"""WITH RECURSIVE i AS (SELECT DISTINCT trim(from_name) AS source, regexp_extract(to_name, '([A-Za-z0-9_]+(?:[-./]+[A-Za-z0-9_]+)*)', 1) AS target FROM impl_edges WHERE from_name IS NOT NULL AND to_name IS NOT NULL),
@@ -279,8 +291,8 @@ query("rcm_order")(lambda s, d: kernels.rcm_order(_ce(s, d)))
 query(
     "cohesion",
     f"""WITH {SE}, g AS (SELECT source AS node, {pkg("source")} AS grp FROM se UNION SELECT target, {pkg("target")} FROM se), i AS (SELECT DISTINCT a.grp, least(source, target) AS x, greatest(source, target) AS y FROM se JOIN g a ON a.node = source JOIN g b ON b.node = target AND a.grp = b.grp),
-c AS (SELECT grp, count(DISTINCT node) AS n FROM g GROUP BY 1), p AS (SELECT grp, count(*) AS p FROM i GROUP BY 1) SELECT grp, CASE WHEN n < 2 THEN 1.0 ELSE coalesce(p, 0) / (n * (n - 1) / 2) END::DOUBLE AS cohesion FROM c LEFT JOIN p USING (grp)""",
-)(lambda s, d: graph.cohesion(bind.simple_call_edges(s, d), graph.nodes_of(bind.simple_call_edges(s, d), "source", "target").withColumn("grp", package_of("node")), "source", "target"))
+c AS (SELECT grp, count(DISTINCT node) AS n FROM g GROUP BY 1), p AS (SELECT grp, count(*) AS p FROM i GROUP BY 1) SELECT grp, round(CASE WHEN n < 2 THEN 1.0 ELSE coalesce(p, 0) / (n * (n - 1) / 2) END::DOUBLE, 6) AS cohesion FROM c LEFT JOIN p USING (grp)""",
+)(lambda s, d: _round(graph.cohesion(bind.simple_call_edges(s, d), graph.nodes_of(bind.simple_call_edges(s, d), "source", "target").withColumn("grp", package_of("node")), "source", "target"), "cohesion"))
 LAYERS = [f"NATION_{i}" for i in range(25)]
 _L = "lay AS (SELECT 'NATION_' || i AS layer, i AS pos FROM range(25) t(i))"
 query("layer_violations", f"WITH {CE}, {_L} SELECT src, dst FROM ce JOIN lay a ON src = a.layer JOIN lay b ON dst = b.layer WHERE a.pos < b.pos")(lambda s, d: graph.layer_violations(bind.component_edges(s, d), LAYERS))
@@ -350,18 +362,18 @@ query(
     "risk_scores",
     f"""WITH RECURSIVE {CE}, {COMPS}, {_REV}, {FI}, top AS (SELECT greatest(max(churn), 1) AS mc FROM comps), tb AS (SELECT greatest(max(blast_pct), 1) AS mb FROM bl),
 sc AS (SELECT name AS component, least(100.0, 100 * (0.4 * churn / mc + 0.4 * blast_pct / mb + 0.2 * 1.0)) AS score FROM comps JOIN bl USING (name) LEFT JOIN fi USING (name), top, tb WHERE churn <> 0 OR coalesce(fan_in, 0) <> 0)
-SELECT component, score::DOUBLE AS score, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM sc""",
-)(lambda s, d: impact.risk_scores(_ce(s, d), bind.components(s, d)).withColumn("score", F.round("score", 9)))
+SELECT component, round(score::DOUBLE, 6) AS score, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM sc""",
+)(lambda s, d: _round(impact.risk_scores(_ce(s, d), bind.components(s, d)), "score"))
 query(
     "leverage",
     f"""WITH {CE}, {COMPS}, k AS (SELECT dst AS name, CASE WHEN call_sites / weight >= 2.0 OR loc_surface > 5 THEN 'e' WHEN weight <= 1 THEN 'b' ELSE 'e' END AS c FROM ce), u AS (SELECT name, count(*) FILTER (c = 'e') AS en, count(*) FILTER (c = 'b') AS bi FROM k GROUP BY 1), t AS (SELECT count(*) AS n FROM comps)
 SELECT name AS component, coalesce(en, 0) AS enrichment, coalesce(bi, 0) AS binary, least(100, 100 * (3 * coalesce(en, 0) + coalesce(bi, 0)) // (3 * n)) AS score FROM comps LEFT JOIN u USING (name), t""",
 )(lambda s, d: impact.leverage(bind.component_edges(s, d), bind.components(s, d)))
-query("independence", f"WITH {CE}, {COMPS}, {FI} SELECT name AS component, coalesce(fan_in, 0)::DOUBLE * n_symbols / CASE WHEN loc = 0 THEN 1 ELSE loc END AS score FROM comps LEFT JOIN fi USING (name)")(lambda s, d: impact.independence(bind.component_edges(s, d), bind.components(s, d)))
+query("independence", f"WITH {CE}, {COMPS}, {FI} SELECT name AS component, round(coalesce(fan_in, 0)::DOUBLE * n_symbols / CASE WHEN loc = 0 THEN 1 ELSE loc END, 6) AS score FROM comps LEFT JOIN fi USING (name)")(lambda s, d: _round(impact.independence(bind.component_edges(s, d), bind.components(s, d)), "score"))
 query(
     "consumer_similarity",
-    f"""WITH {CE}, c AS (SELECT DISTINCT src, dst FROM ce), n AS (SELECT dst, count(*) AS n FROM c GROUP BY 1), i AS (SELECT a.dst AS a, b.dst AS b, count(*) AS k FROM c a JOIN c b ON a.src = b.src AND a.dst < b.dst GROUP BY 1, 2), s AS (SELECT a, b, k / (x.n + y.n - k) AS sim FROM i JOIN n x ON x.dst = a JOIN n y ON y.dst = b) SELECT * FROM s WHERE sim >= 0.3""",
-)(lambda s, d: impact.consumer_similarity(bind.component_edges(s, d), 0.3).where("sim < 1").unionByName(_equal_pairs(s, d)))
+    f"""WITH {CE}, c AS (SELECT DISTINCT src, dst FROM ce), n AS (SELECT dst, count(*) AS n FROM c GROUP BY 1), i AS (SELECT a.dst AS a, b.dst AS b, count(*) AS k FROM c a JOIN c b ON a.src = b.src AND a.dst < b.dst GROUP BY 1, 2), s AS (SELECT a, b, k / (x.n + y.n - k) AS sim FROM i JOIN n x ON x.dst = a JOIN n y ON y.dst = b) SELECT a, b, round(sim, 6) AS sim FROM s WHERE sim >= 0.3""",
+)(lambda s, d: _round(impact.consumer_similarity(bind.component_edges(s, d), 0.3).where("sim < 1").unionByName(_equal_pairs(s, d)), "sim"))
 
 
 def _equal_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -544,8 +556,8 @@ query("author_ownership", "WITH g AS (SELECT event_type AS package, user_id::VAR
 query("file_hotspots", f"WITH g AS (SELECT event_type || '/f' || (user_id % 7) || '.go' AS file, count(*) AS changes FROM events WHERE ts >= TIMESTAMP '{_AS_OF}' - INTERVAL 30 DAY AND ts <= TIMESTAMP '{_AS_OF}' GROUP BY 1) SELECT * FROM g ORDER BY changes DESC, file LIMIT 50")(
     lambda s, d: temporal.file_hot_spots(bind.commits(s, d), _at())
 )
-query("coverage", "SELECT event_type AS component, sum(CASE WHEN user_id % 3 > 0 THEN event_id % 9 + 1 ELSE 0 END) * 100.0 / sum(event_id % 9 + 1) AS coverage_pct FROM events GROUP BY 1")(
-    lambda s, d: temporal.coverage(table(s, d, "events").select(F.concat("event_type", F.lit("/a.go:1.1,2.2 "), (F.col("event_id") % 9 + 1).cast("string"), F.lit(" "), (F.col("user_id") % 3).cast("string")).alias("value")))
+query("coverage", "SELECT component, round(cov, 6) AS coverage_pct FROM (SELECT event_type AS component, sum(CASE WHEN user_id % 3 > 0 THEN event_id % 9 + 1 ELSE 0 END) * 100.0::DOUBLE / sum(event_id % 9 + 1) AS cov FROM events GROUP BY 1)")(
+    lambda s, d: temporal.coverage(table(s, d, "events").select(F.concat("event_type", F.lit("/a.go:1.1,2.2 "), (F.col("event_id") % 9 + 1).cast("string"), F.lit(" "), (F.col("user_id") % 3).cast("string")).alias("value"))).withColumn("coverage_pct", F.round("coverage_pct", 6))
 )
 
 # -- retrieval ------------------------------------------------------------------------------------------------------------------------
@@ -570,8 +582,8 @@ _TOK = "['metric', 'steel', 'small']"
 query(
     "book_roots",
     f"""WITH p AS (SELECT p_partkey::VARCHAR AS id, list_transform(string_split(p_name, ' '), lambda x: lower(x)) AS kw FROM part), s AS (SELECT id, len(list_filter({_TOK}, lambda t: len(list_filter(kw, lambda k: k = t OR contains(k, t) OR contains(t, k))) > 0)) AS h, len(kw) AS n FROM p)
-SELECT id, h / greatest(1, 3 + n - h) AS score FROM s WHERE h > 0 ORDER BY 2 DESC, 1 LIMIT 3""",
-)(lambda s, d: retrieval.book_query(_parts(s, d), s.createDataFrame([("1", "2"), ("2", "3")], "`from` string, `to` string"), "Metric, steel small!")["roots"])
+SELECT id, round(h / greatest(1, 3 + n - h), 6) AS score FROM s WHERE h > 0 ORDER BY 2 DESC, 1 LIMIT 3""",
+)(lambda s, d: retrieval.book_query(_parts(s, d), s.createDataFrame([("1", "2"), ("2", "3")], "`from` string, `to` string"), "Metric, steel small!")["roots"].withColumn("score", F.round("score", 6)))
 query("route")(lambda s, d: table(s, d, "documents").where("text IS NOT NULL").select(retrieval.route(F.col("text")).alias("action")).groupBy("action").agg(F.count(F.lit(1)).alias("n")))
 ORACLES["route"] = (
     "WITH t AS (SELECT lower(text) AS q FROM documents WHERE text IS NOT NULL) SELECT CASE "
