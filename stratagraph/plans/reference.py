@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import package_of
-from ..operators import clinic, constraint, cycles, graph, impact, kernels, mesh, primitives, render, retrieval, temporal
+from ..operators import clinic, constraint, cycles, graph, impact, kernels, mesh, model, primitives, render, retrieval, temporal
 from ..runtime import checkpoint, table
 from ..sources import scanners
 from . import bind
@@ -339,6 +339,54 @@ query(
     f"""WITH {SE}, w AS (SELECT CASE WHEN starts_with(source, 'platform/') AND starts_with(target, 'platform/') THEN 0.5 WHEN {pkg("target")} IN ({", ".join(f"'{x}'" for x in mesh.PLUMBING)}) THEN 0.01 ELSE 0.3 END AS w FROM se) SELECT w::DOUBLE AS weight, count(*) AS n FROM w GROUP BY 1""",
 )(lambda s, d: bind.simple_call_edges(s, d).select(mesh.edge_weight(F.col("source"), F.col("target"), ["platform"]).alias("weight")).groupBy("weight").agg(F.count(F.lit(1)).alias("n")))
 
+# -- components from packages ---------------------------------------------------------------------------------------------
+_PE = f"pe AS (SELECT {pkg('source')} AS src, {pkg('target')} AS dst, starts_with(target, 'platform/') AS external, count(*) AS weight FROM se GROUP BY 1, 2, 3)"
+_NS = "ns AS (SELECT DISTINCT package AS path FROM n WHERE package <> '')"
+
+
+def _short(x: str) -> str:
+    return f"CASE WHEN starts_with({x}, 'tinfern/') THEN substr({x}, 9) ELSE {x} END"
+
+
+def _package_edges(s: SparkSession, d: str) -> DataFrame:
+    e = bind.simple_call_edges(s, d).select(package_of("source").alias("src"), package_of("target").alias("dst"), F.col("target").startswith("platform/").alias("external"))
+    return e.groupBy("src", "dst", "external").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _package_model(s: SparkSession, d: str) -> dict:
+    n = bind.symbol_nodes(s, d)
+    return model.package_model(n.where("package <> ''").select(F.col("package").alias("path")), _package_edges(s, d), n.select("package", "exported"), "tinfern", external=True)
+
+
+query("package_components", f"WITH {N}, {_NS}, x AS (SELECT package AS path, count(*) AS k FROM n WHERE exported GROUP BY 1) SELECT {_short('path')} AS name, coalesce(k, 0) AS n_symbols FROM ns LEFT JOIN x USING (path)")(
+    lambda s, d: _package_model(s, d)["components"]
+)
+_PM = f"pm AS (SELECT {_short('src')} AS src, {_short('dst')} AS dst, 'import' AS protocol, weight FROM pe WHERE NOT external AND src IN (SELECT path FROM ns) AND dst IN (SELECT path FROM ns) UNION ALL SELECT {_short('src')}, dst, 'external', weight FROM pe WHERE external)"
+query("package_edges", f"WITH {SE}, {N}, {_NS}, {_PE}, {_PM} SELECT * FROM pm")(lambda s, d: _package_model(s, d)["edges"])
+_DG = "array_to_string(string_split({x}, '/')[1:2], '/')"
+
+
+def _group_model(s: SparkSession, d: str) -> dict:
+    m = _package_model(s, d)
+    return model.group_model(m["components"].select("name", F.lit(1).alias("churn")), m["edges"], model.default_groups(m["components"], 2))
+
+
+_GR = f"cm AS (SELECT {_short('path')} AS name FROM ns), g0 AS (SELECT name, {_DG.format(x='name')} AS grp FROM cm), g AS (SELECT * FROM g0 WHERE grp IN (SELECT grp FROM g0 GROUP BY 1 HAVING count(*) > 1))"
+query("group_components", f"WITH {N}, {_NS}, {_GR} SELECT coalesce(grp, name) AS name, count(*) AS churn FROM cm LEFT JOIN g USING (name) GROUP BY 1")(lambda s, d: _group_model(s, d)["components"])
+query(
+    "group_edges",
+    f"WITH {SE}, {N}, {_NS}, {_PE}, {_PM}, {_GR}, l AS (SELECT coalesce(a.grp, src) AS src, coalesce(b.grp, dst) AS dst, protocol, weight FROM pm LEFT JOIN g a ON a.name = src LEFT JOIN g b ON b.name = dst) SELECT src, dst, CASE WHEN bool_or(protocol = 'external') THEN 'external' ELSE 'import' END AS protocol, sum(weight)::BIGINT AS weight FROM l WHERE src <> dst GROUP BY 1, 2",
+)(lambda s, d: _group_model(s, d)["edges"])
+query("group_counts", f"WITH {N}, {_NS} SELECT d::INTEGER AS depth, count(DISTINCT array_to_string(string_split(path, '/')[1:d], '/')) AS n FROM ns, range(1, 6) t(d) GROUP BY 1")(
+    lambda s, d: model.group_counts(bind.symbol_nodes(s, d).where("package <> ''").select(F.col("package").alias("name")).distinct())
+)
+query("size_rollup", "WITH x AS (SELECT DISTINCT file_id, project, package, lines FROM parsed_files WHERE package IS NOT NULL) SELECT project || '/' || package AS component, sum(lines)::BIGINT AS loc FROM x GROUP BY 1")(
+    lambda s, d: model.size_rollup(
+        table(s, d, "parsed_files").where("package IS NOT NULL").select("file_id", "project", "package", "lines").distinct().select(F.concat_ws("/", "project", "package").alias("component"), "lines"),
+        s.createDataFrame([], "component string, depth int"),
+    ).select("component", "loc")
+)
+
 # -- impact --------------------------------------------------------------------------------------------------------------
 _REV = "r AS (SELECT name AS seed, name AS node FROM comps UNION SELECT seed, src FROM r JOIN ce ON node = dst WHERE src IN (SELECT name FROM comps)), tot AS (SELECT count(*) AS n FROM comps), b AS (SELECT seed AS name, count(*) - 1 AS transitive FROM r GROUP BY 1), dr AS (SELECT dst AS name, count(DISTINCT src) AS direct FROM ce WHERE src <> dst GROUP BY 1), bl AS (SELECT comps.name, coalesce(direct, 0) AS direct, transitive, (transitive * 100) // n AS blast_pct FROM comps JOIN b USING (name) LEFT JOIN dr USING (name), tot)"
 query("impact", f"WITH RECURSIVE {CE}, {COMPS}, {_REV} SELECT name AS component, direct, transitive, blast_pct, CASE WHEN blast_pct >= 50 THEN 'critical' WHEN blast_pct >= 25 THEN 'high' WHEN blast_pct >= 10 THEN 'medium' ELSE 'low' END AS risk FROM bl")(

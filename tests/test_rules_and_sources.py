@@ -187,3 +187,21 @@ def test_streaming(spark, tmp_path):
     q = windowed_churn(stream).writeStream.outputMode("append").format("memory").queryName("churn_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["package"], r["changes"]) for r in spark.table("churn_out").collect()] == [("a", 2)]
+
+
+def test_model(spark):
+    from stratagraph.operators import model
+
+    ns = spark.createDataFrame([("m",), ("m/a/b",), ("m/a/c",), ("m/testkit/x",)], "path string")
+    e = spark.createDataFrame([("m/a/b", "m/a/c", False, 2), ("m/a/b", "fmt", True, 1), ("m/a/b", "m/gone", False, 1), ("m/testkit/x", "m/a/b", False, 1)], "src string, dst string, external boolean, weight int")
+    s = spark.createDataFrame([("m/a/b", True), ("m/a/b", False), ("m", True)], "package string, exported boolean")
+    r = model.package_model(ns, e, s, "m", external=True, no_tests=True)
+    assert rows(r["components"]) == [("(root)", 1), ("a/b", 1), ("a/c", 0)]
+    assert rows(r["edges"]) == [("a/b", "a/c", "import", 2), ("a/b", "fmt", "external", 1)]
+    g = model.group_model(r["components"].select("name", F.lit(3).alias("churn")), r["edges"], model.default_groups(r["components"], 1))
+    assert rows(g["components"]) == [("(root)", 3), ("a", 6)] and rows(g["edges"]) == [("a", "fmt", "external", 1)]
+    names = spark.createDataFrame([("a/x/1",), ("a/x/2",), ("a/y/1",), ("b/z",)], "name string")
+    assert model.suggested_depth(names) == 1 and model.suggested_depth(names.limit(2)) == 0
+    assert model.project_path({"Cargo.toml": '[package]\nname = "c"\n'}, "/x/y") == "c" and model.project_path({}, "/x/y/") == "y"
+    f = spark.createDataFrame([("a", 10), ("a", 5), ("b", None)], "component string, lines int")
+    assert rows(model.size_rollup(f, spark.createDataFrame([("a", 2), ("a", 4)], "component string, depth int"))) == [("a", 15, 4, 3.0), ("b", None, 0, 0.0)]
