@@ -67,3 +67,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], salt_by: str, lim
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, same & (F.col("_salt") == F.col("_s")), "left").drop(*drop, "_salt", "_s")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, spread over them; larger inputs stay as they are. For work that is dear by the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
