@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import checkpoint, lookup
+from ..runtime import checkpoint, lookup, spread
 
 #: Encodings that texts are written in, and decoders they are wrongly read with (fixed values).
 TRUE = "utf-8 cp1252 cp1250 cp1251 cp1253 cp1254 cp1257 iso8859-2 iso8859-5 iso8859-7 koi8-r cp866 cp437 cp850 mac-roman gb18030 big5 cp932 euc-jp euc-kr".split()
@@ -425,7 +425,7 @@ def _priors(judged: DataFrame) -> tuple[float, dict[str, float]]:
 def restore(documents: DataFrame, rounds: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", field: str = "kind", least: float = 1.5) -> DataFrame:
     """(key, chain, gain, lost, odds, text, repaired) of all records with log odds over ``least`` (1.5: over four to one); an empty chain with lost > 0 can't be undone."""
     docs = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"), F.col(f"`{field}`").alias("field"))
-    high = docs.where(F.col("text").rlike(r"[^\x00-\x7f]"))  # no chain changes plain ASCII
+    high = spread(docs.where(F.col("text").rlike(r"[^\x00-\x7f]")))  # no chain changes plain ASCII
     spark, rate, shares = documents.sparkSession, 0.03, {}
     whole = _model(high.select("text"))
     corpus = spark.sparkContext.broadcast((whole.counts, whole.total))  # a table of fixed size

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import checkpoint, lookup
+from ..runtime import checkpoint, lookup, spread
 from .repair_grammar import global_rules, infer, lengths, occurrences, tokens
 
 BLOCK = 20_000
@@ -182,7 +182,7 @@ def judged(files: DataFrame, thirdparty: DataFrame) -> DataFrame:
     both = F.concat_ws("\n", F.regexp_replace("rel_path", r"\\", "/"), F.regexp_replace("path", r"\\", "/"))
     own = files.select(F.monotonically_increasing_id().alias("row"), "file_id", "project", name.alias("name"), both.alias("paths"), "source")
     known = thirdparty.select(F.col("rel_path").alias("name"), "source").where(F.col("source").isNotNull())
-    f = checkpoint(facts(own))  # read twice: its texts are lexed once
+    f = checkpoint(facts(spread(own)))  # read twice: its texts are lexed once
     # A rule of one or two tokens is shared by chance.
     theirs = facts(known).select(F.explode("rules").alias("rule")).distinct().withColumn("known", F.lit(1))
     uses = f.select("row", F.explode(F.arrays_zip("rules", "sizes")).alias("r")).select("row", F.col("r.rules").alias("rule"), F.col("r.sizes").alias("size"))

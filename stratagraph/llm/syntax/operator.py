@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ...runtime import spread
 from .engine import CLOSE, END, OPEN, START
 from .grammars import LANGUAGES, grammar
 from .lexers import LANGUAGES as EXTENSIONS
@@ -82,7 +83,8 @@ def lex_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    return files.select("row", "lang", "source").mapInArrow(lex_rows, _TOKENS)
+    # The row numbers are given before rows may move.
+    return spread(files.select("row", "lang", "source")).mapInArrow(lex_rows, _TOKENS)
 
 
 def permissible_pairs(spark: SparkSession) -> DataFrame:

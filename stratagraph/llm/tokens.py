@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import spread
+
 #: The public split pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -196,7 +198,7 @@ def encode(documents: DataFrame, path: str = DEFAULT_RANKS, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], names=[key, "ids"])
 
     schema = T.StructType([documents.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return spread(documents.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
 
 
 def count_tokens(documents: DataFrame, path: str = DEFAULT_RANKS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,4 +211,4 @@ def count_tokens(documents: DataFrame, path: str = DEFAULT_RANKS, key: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encoder.encode(t)) for t in batch.column(1).to_pylist()], pa.int32())], names=[key, "n"])
 
     schema = T.StructType([documents.schema[key], T.StructField("n", T.IntegerType())])
-    return documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return spread(documents.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
