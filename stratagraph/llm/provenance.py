@@ -38,9 +38,9 @@ ONE_RULE, TWO_RULES, BLOB, COPY, LINE = 0.55, 0.65, 0.6, 0.5, 150
 
 #: What notices say (fixed values). The second pattern denies the first.
 GENERATED = re.compile(
-    r"(?i)\b(?:code |file )?(?:auto[- ]?)generated (?:by|from|via|using|with|file)\b|\bgenerated (?:by|from|via|using|with|code)\b|@generated\b|<auto-?generated|\bautomatically generated\b"
-    r"|\bmachine[- ](?:written|generated|made)\b|\bdo not (?:edit|modify)\b|\bautomatisch (?:erzeugt|generiert|erstellt)\b|\bgénéré automatiquement\b|\bne pas modifier\b"
-    r"|\bgenerado automáticamente\b|\bgerado automaticamente\b|\bgenerato automaticamente\b|\bautomatycznie wygenerowan|автоматически сгенерирован|сгенерирован автоматически|自動生成|自动生成"
+    r"(?i)\b(?:code|file|source) (?:was |is |has been )?(?:auto[- ]?|automatically )?generated (?:by|from|via|using|with)\b|^\W*(?:auto[- ]?)?generated (?:by|from|via|using|with|code|file)\b|\bautogenerated (?:by|from|via|using|with|code|file)\b"
+    r"|@generated\b|<auto-?generated|\bautomatically generated (?:by|from|via|using|with|code|file)\b|\bmachine[- ](?:written|generated|made) (?:output|code|file|by)\b|(?-i:\bDO NOT EDIT\b)|\bdo not (?:edit|modify) (?:it|this file|manually|by hand)\b"
+    r"|\bautomatisch (?:erzeugt|generiert|erstellt)\b|\bgénéré automatiquement\b|\bgenerado automáticamente\b|\bgerado automaticamente\b|\bgenerato automaticamente\b|\bautomatycznie wygenerowan|автоматически сгенерирован|сгенерирован автоматически|自動生成|自动生成"
     r"|^\W*line \S+\.y:\d+"
 )
 NOT_GENERATED = re.compile(r"(?i)\bnot (?:an? )?(?:auto[- ]?|automatically |machine[- ])?generated\b|\bedit it by hand\b|\bno longer generated\b|\bformerly generated\b|\bused to be generated\b")
