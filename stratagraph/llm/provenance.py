@@ -86,7 +86,8 @@ def rule_shares(syms: list[str]) -> tuple[float, float]:
 
 def blob_share(syms: list[str], literals: list[str], chars: int) -> float:
     """Share of a source that is literals which a grammar hardly shortens: long strings by their characters, numbers by their values."""
-    long = [x for x in literals if len(x) > 60 and x[0] in "\"'`"]
+    # Words between blanks are prose, which only a longer text would show to be compressible.
+    long = [x for x in literals if len(x) > 60 and x[0] in "\"'`" and x.count(" ") < 0.02 * len(x)]
     numbers = [x for x in literals if x[0] not in "\"'`"]
     out = 0.0
     payload = "".join(re.sub(r"[^\w+/=\\-]+", " ", x) for x in long)
