@@ -34,7 +34,7 @@ from .repair_grammar import global_rules, infer, lengths, occurrences, tokens
 
 BLOCK = 20_000
 #: Shares from which a file counts: of the best rule, of the best two, of incompressible literals, of third-party rules; characters a line.
-ONE_RULE, TWO_RULES, BLOB, COPY, LINE = 0.55, 0.65, 0.6, 0.5, 150
+ONE_RULE, TWO_RULES, BLOB, COPY, LINE = 0.7, 0.72, 0.6, 0.5, 150
 
 #: What notices say (fixed values). The second pattern denies the first.
 GENERATED = re.compile(
