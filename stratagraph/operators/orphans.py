@@ -75,8 +75,9 @@ def and_not(ref: pd.Series, parent: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def suspects(refs: DataFrame, decls: DataFrame, key_ranges: int = 64) -> DataFrame:
-    """(fqn, period) of references whose name isn't declared during the whole period."""
+def suspects(refs: DataFrame, decls: DataFrame, key_ranges: int | None = None) -> DataFrame:
+    """(fqn, period) of references whose name isn't declared during the whole period. There are as many key ranges as shuffle partitions, 64 at least: each is numbered in one task."""
+    key_ranges = key_ranges or max(64, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = refs.groupBy("fqn", "period").agg(F.count(F.lit(1)).alias("n"))
     keys = pairs.groupBy("fqn").agg(F.collect_set("period").alias("periods"))
     w = Window.partitionBy("kr").orderBy("fqn")
