@@ -21,7 +21,9 @@ stretch of 4,000 is a word; an empty table gives no rows; extra columns are neve
 
 from __future__ import annotations
 
+import bisect
 import codecs
+import functools
 import math
 import re
 import uuid
@@ -90,18 +92,89 @@ def from_bytes(data: bytes, name: str) -> str | None:
     return "".join([chars[b] for b in data])
 
 
-def undo_once(word: str) -> Iterator[tuple[str, str, str]]:
-    """(wrong decoder, true encoding, text) of every single step that can be undone and changes the word."""
+@functools.cache
+def _given(name: str) -> re.Pattern:
+    """Stretches of characters that the decoder can give."""
+    if name == "gb18030":
+        return re.compile("[^\ud800-\udfff]+")
+    chars = _ONE[name][0] if name not in MULTI else [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000))) if to_bytes(c, name) is not None]
+    return re.compile("[" + "".join(map(re.escape, sorted(set(chars)))) + "]+")
+
+
+#: Sequences of UTF-8 beyond ASCII.
+_SEQUENCES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
+
+
+def _runs(data: bytes, name: str) -> Iterator[tuple[int, int]]:
+    """Maximal runs of bytes that decode and hold one beyond ASCII."""
+    if name == "utf-8":
+        yield from (m.span() for m in _SEQUENCES.finditer(data))
+        return
+    at = 0
+    while at < len(data):
+        end = after = len(data)
+        try:
+            data[at:].decode(name)
+        except UnicodeDecodeError as e:
+            end, after = at + e.start, at + e.end
+        if not data[at:end].isascii():
+            yield at, end
+        at = after
+
+
+def _parts(word: str, wrong: str) -> list[tuple[int, str, bytes]]:
+    """(start, text, bytes) of the word's stretches beyond ASCII that the decoder can give."""
+    return [(m.start(), m.group(), to_bytes(m.group(), wrong)) for m in _given(wrong).finditer(word) if not m.group().isascii()]
+
+
+def _spliced(word: str, wrong: str, true: str, parts: list[tuple[int, str, bytes]]) -> tuple[str, str] | None:
+    """The word with only those runs undone that decode, and the characters beyond ASCII of these."""
+    out, gone, at = [], [], 0
+    for start, text, data in parts:
+        if true not in MULTI:
+            runs = [(start, start + len(text), from_bytes(data, true))]
+        elif wrong not in MULTI:
+            runs = [(start + a, start + b, data[a:b].decode(true)) for a, b in _runs(data, true)]
+        else:
+            ends = [0]  # runs begin and end with a character of the text
+            for c in text:
+                ends.append(ends[-1] + len(to_bytes(c, wrong)))
+            runs = []
+            for a, b in _runs(data, true):
+                i, j = bisect.bisect_left(ends, a), bisect.bisect_right(ends, b) - 1
+                inner = ((x, y) for x in range(i, min(i + 4, j)) for y in range(j, max(j - 4, x), -1))
+                fits = [(x, y, t) for x, y in inner if (t := from_bytes(data[ends[x] : ends[y]], true)) is not None]
+                if fits:
+                    x, y, t = max(fits, key=lambda f: f[1] - f[0])
+                    runs.append((start + x, start + y, t))
+        for a, b, fixed in runs:
+            if fixed != word[a:b]:
+                out += [word[at:a], fixed]
+                gone += _HIGH.findall(word[a:b])
+                at = b
+    return ("".join(out) + word[at:], "".join(gone)) if out else None
+
+
+def undo_once(word: str) -> Iterator[tuple[str, str, str, str]]:
+    """(wrong decoder, true encoding, text, characters undone) of every single step that can be undone and changes the word.
+
+    Where the whole word can't be undone, its runs that can are: intact characters may stand next to damaged ones.
+    """
+    high = "".join(_HIGH.findall(word))
     for wrong in WRONG:
-        data = to_bytes(word, wrong)
-        if data is None:
-            continue
+        data, parts = to_bytes(word, wrong), None
         for true in TRUE:
             if true == wrong:
                 continue
-            out = from_bytes(data, true)
-            if out is not None and out != word:
-                yield wrong, true, out
+            out = from_bytes(data, true) if data is not None else None
+            if out is not None:
+                if out != word:
+                    yield wrong, true, out, high
+                continue
+            if parts is None:
+                parts = _parts(word, wrong)
+            if parts and (some := _spliced(word, wrong, true, parts)):
+                yield wrong, true, *some
 
 
 def undo(word: str, chain: str) -> str | None:
@@ -110,7 +183,10 @@ def undo(word: str, chain: str) -> str | None:
         data = to_bytes(word, wrong)
         out = from_bytes(data, true) if data is not None else None
         if out is None:
-            return None
+            some = _spliced(word, wrong, true, _parts(word, wrong))
+            if some is None:
+                return None
+            out = some[0]
         word = out
     return word
 
@@ -130,7 +206,7 @@ class CharModel:
     WEIGHTS = (0.05, 0.15, 0.3, 0.5)
 
     def __init__(self, counts: np.ndarray, total: float):
-        self.counts, self.total, self.known = counts, max(total, 1.0), {}
+        self.counts, self.total, self.known, self.met = counts, max(total, 1.0), {}, {}
 
     @staticmethod
     def grams(word: str) -> Iterator[str]:
@@ -158,10 +234,15 @@ class CharModel:
             self.known[key] = got
         return got
 
-    def logp(self, word: str) -> float:
+    def logp(self, word: str, least: float = -math.inf) -> float:
+        """Log-likelihood of the word; below ``least`` it may be left unfinished, as no character can raise it."""
         s = "\x02" + word.translate(_DIGITS) + "\x03"
-        char = self.char
-        return sum(char(s[max(0, i - 3) : i], s[i]) for i in range(1, len(s)))
+        char, p = self.char, 0.0
+        for i in range(1, len(s)):
+            p += char(s[max(0, i - 3) : i], s[i])
+            if p < least:
+                break
+        return p
 
     def commonness(self, word: str) -> float:
         """Mean log count of the word's 4-grams, which repeated damage can't raise over that of the intact form as it can the conditional odds."""
@@ -174,7 +255,7 @@ class CharModel:
         if len(word) < 2:
             return False
         here = self.commonness(word) + SUSPECT
-        for _, true, fixed in undo_once(word):
+        for _, true, fixed, _ in undo_once(word):
             if _CONTROL.search(fixed) and true != "utf-8":
                 continue
             common = self.commonness(fixed.replace("\ufeff", ""))
@@ -183,7 +264,10 @@ class CharModel:
         return False
 
     def has(self, c: str) -> bool:
-        return c < "\x80" or counts_of(self.counts, "1" + c) > 0
+        got = self.met.get(c)
+        if got is None:
+            got = self.met[c] = c < "\x80" or counts_of(self.counts, "1" + c) > 0
+        return got
 
 
 def counts_of(counts: np.ndarray, gram: str) -> float:
@@ -203,7 +287,7 @@ def mentioned(text: str) -> set[int]:
     for at, q in {*quoted, *loose}:
         if not _HIGH.search(q) or len(q) < 2:
             continue
-        for _, _, r in undo_once(q):
+        for _, _, r, _ in undo_once(q):
             near = [m.start() for m in re.finditer(re.escape(r), text) if abs(m.start() - at) < 120 and m.start() != at] if len(r) < len(q) and len(r) <= 3 else []
             if near:
                 out.update([at, *near])
@@ -224,8 +308,8 @@ class Judge:
         wrong, true = chain.rpartition("|")[2].split(">")
         return -4.0 - 0.01 * (TRUE.index(true) + WRONG.index(wrong)) - 2.0 * chain.count("|")
 
-    def word(self, word: str) -> tuple[tuple[str, float], ...]:
-        """((chain, log-likelihood ratio against the word as it stands), ...) of chains that gain."""
+    def word(self, word: str) -> tuple[tuple[str, float, str], ...]:
+        """((chain, log-likelihood ratio against the word as it stands, characters undone), ...) of chains that gain."""
         got = self.known.get(word)
         if got is None:
             got = self._word(word)
@@ -234,31 +318,35 @@ class Judge:
             self.known[word] = got
         return got
 
-    def _word(self, word: str) -> tuple[tuple[str, float], ...]:
+    def _word(self, word: str) -> tuple[tuple[str, float, str], ...]:
         here = self.model.logp(word)
         if here > -6.0:  # no chain could gain enough
             return ()
         out: dict[str, float] = {}
+        units: dict[str, str] = {"": ""}
+        judged: dict[str, tuple[float, float | None]] = {}
         seen, level = {word}, [("", word)]
         for _ in range(self.depth):
             after: list[tuple[float, str, str]] = []
             for chain, text in level:
-                for wrong, true, fixed in undo_once(text):
+                for wrong, true, fixed, unit in undo_once(text):
                     name = f"{chain}|{wrong}>{true}" if chain else f"{wrong}>{true}"
-                    plain = fixed.replace("\ufeff", "")  # a byte order mark belongs to no word
-                    known = sum(map(self.model.has, plain)) / max(1, len(plain))
-                    if known > 0.9 and not _CONTROL.search(plain):
-                        gain = self.model.logp(plain) - here
-                        # A further step must explain more than the chain without it does.
-                        if gain > (out.get(chain, 0.0) + 2 * MARGIN if chain else 0.0):
-                            out[name] = gain
+                    if fixed not in judged:  # many steps give the same text
+                        plain = fixed.replace("\ufeff", "")  # a byte order mark belongs to no word
+                        known = sum(map(self.model.has, plain)) / max(1, len(plain))
+                        judged[fixed] = known, self.model.logp(plain, here - 0.001) - here if known > 0.9 and not _CONTROL.search(plain) else None
+                    known, gain = judged[fixed]
+                    units[name] = units[chain] or unit
+                    # A further step must explain more than the chain without it does.
+                    if gain is not None and gain > (out.get(chain, 0.0) + 2 * MARGIN if chain else 0.0):
+                        out[name] = gain
                     if true == "utf-8" and fixed not in seen:  # only what became shorter can have been damaged before
                         seen.add(fixed)
                         after.append((-known, name, fixed))
             level = [(n, f) for _, n, f in sorted(after)[:4]]
             if not level:
                 break
-        return tuple(sorted(out.items(), key=lambda x: -x[1])[:24])
+        return tuple((c, g, units[c]) for c, g in sorted(out.items(), key=lambda x: -x[1])[:24])
 
     def text(self, text: str | None) -> tuple[str, float, int]:
         """(best chain, its pooled ratio, lost characters)."""
@@ -273,8 +361,7 @@ class Judge:
                 continue
             if "\ufffd" in w and not re.fullmatch(r"[\"'`‘“(]+\ufffd+[\"'`’”).,;:]+", w):
                 lost += w.count("\ufffd")
-            high = "".join(_HIGH.findall(w))
-            for chain, gain in self.word(w):
+            for chain, gain, high in self.word(w):
                 if gain <= MARGIN:
                     break
                 of = pooled[chain]
@@ -289,7 +376,7 @@ class Judge:
         """Each word that the chain makes more likely, and those between them that it can undo, undone."""
         skip = mentioned(text)
         words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if not m.group().isascii()]
-        gains = [-1.0 if any(a <= s < b for s in skip) else dict(self.word(w)).get(chain, 0.0) for a, b, w in words]
+        gains = [-1.0 if any(a <= s < b for s in skip) else next((g for c, g, _ in self.word(w) if c == chain), 0.0) for a, b, w in words]
         out, at = [], 0
         for (a, b, w), g in zip(words, gains):
             if g > 0 and (fixed := undo(w, chain)) is not None:

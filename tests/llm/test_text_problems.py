@@ -197,3 +197,14 @@ def test_provenance(spark):
     got = {r["file_id"] for r in provenance.not_handwritten(df, tp).collect()}
     assert got == {r[0] for r in rows if r[4]}
     assert provenance.not_handwritten(df.limit(0), tp).isEmpty() and {6} & {r["file_id"] for r in provenance.not_handwritten(df, tp.limit(0)).collect()} == set()
+
+
+def test_mojibake_next_to_intact_characters(spark):
+    hurt = lambda t: damage(t, "utf-8", "cp1252")
+    assert mojibake.undo("“core" + hurt("”"), "cp1252>utf-8") == "“core”" and mojibake.undo("“core”", "cp1252>utf-8") is None
+    assert mojibake.undo("設定" + hurt("ファイル") + "を置き換えた。", "cp1252>utf-8") == PLAIN[4]
+    assert mojibake.undo("設定" + damage("ファイルを", "utf-8", "cp1251"), "cp1251>utf-8") == "設定ファイルを"
+    docs = [(i, PLAIN[i % 5] + f" Nr {i}. " + PLAIN[(i * 3) % 5] + " Die “alte” Regel.", "s", "k") for i in range(600)]
+    bad = {1000: ("The “core" + hurt("”") + " rule.", "The “core” rule."), 1001: ("設定" + hurt("ファイル") + "を置き換えた。", PLAIN[4])}
+    df = spark.createDataFrame(docs + [(k, v[0], "s", "k") for k, v in bad.items()] + [(2000, "The “core” rule.", "s", "k")], "doc_id long, text string, source string, kind string")
+    assert {r["doc_id"]: r["repaired"] for r in mojibake.restore(df).collect()} == {k: v[1] for k, v in bad.items()}
