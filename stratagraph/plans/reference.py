@@ -691,3 +691,19 @@ query("facts", f"WITH {CE}, {COMPS} SELECT src || ' depends on ' || dst || ' wit
 query("edge_list", f"WITH {CE} SELECT 'edges:' || chr(10) || string_agg(src || ' -> ' || dst, chr(10) ORDER BY src, dst) AS text FROM ce")(lambda s, d: render.edge_list(bind.component_edges(s, d)))
 for _kind in ("dependency", "tree", "coupling", "churn", "c4", "layers", "dsm"):
     query(f"diagram_{_kind}")(lambda s, d, kind=_kind: render.render(kind, components=bind.components(s, d), edges=_ce(s, d)))
+
+# -- the same over all pairs of components -------------------------------------------------------------------------
+CE_ALL = CE.partition("ce AS (")[0] + "ce AS (SELECT src, dst, weight, weight AS call_sites, loc_surface FROM pairs)"
+_NO_SQL = ["import_depth_general", "betweenness", "rcm_order", "mesh_overlay", "cohesion_clusters", *[x for x in QUERIES if x.startswith("diagram_")]]
+
+
+def _whole(fn):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        with bind.all_pairs():
+            return fn(s, d)
+
+    return run
+
+
+for _name in [*[x for x, sql in ORACLES.items() if CE in sql], *[x for x in _NO_SQL if x not in ORACLES]]:
+    query(f"{_name}_all_pairs", ORACLES[_name].replace(CE, CE_ALL) if _name in ORACLES else None)(_whole(QUERIES[_name]))

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import pytest
@@ -136,3 +137,15 @@ def test_what_if(spark):
     assert ("C", 350, 4) in rows(m["components"]) and rows(m["edges"], "src", "dst", "call_sites") == [("A", "C", 5), ("C", "D", 1)]
     nothing = impact.what_if(e, c, [])
     assert nothing["edges"].count() == 4 and nothing["edge_diff"].isEmpty()
+
+
+def test_component_queries_read_all_pairs(spark):
+    import __spark_entry__ as e
+    from stratagraph.plans import bind
+
+    d, q = "/root/testdata/sf0.001", e.queries()
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    whole = {(r["src"], r["dst"]) for r in bind._nation_pairs(spark, d).collect()}
+    assert {(r["src"], r["dst"]) for r in q["component_edges_all_pairs"](spark, d).collect()} == whole
+    assert q["dependencies_all_pairs"](spark, d).count() == sum((a == "NATION_3") + (b == "NATION_3") for a, b in whole)
