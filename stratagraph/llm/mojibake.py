@@ -15,8 +15,8 @@ all records. Characters lost for good (U+FFFD) are a step that cannot be undone.
 quoted, short, with their right form quoted nearby - are no evidence.
 
 Defined cases: null, empty, blank and plain ASCII texts are intact; null source or field is a group like any other; repeated
-rows are judged alike; long texts are read whole; a word is cut at blanks only, and of words over 4,000 characters each
-stretch of 4,000 is a word; an empty table gives no rows; extra columns are never read.
+rows are judged alike; long texts and words are read whole; a word is cut at blanks only; an empty table gives no rows;
+extra columns are never read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import codecs
 import functools
 import math
 import re
+import threading
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -52,7 +53,8 @@ SUSPECT = 1.5  # mean log ratio of n-gram counts
 MARGIN = 2.5  # what a single word must gain before it counts
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _CONTROL = re.compile(r"[\x80-\x9f]")
-_WORD = re.compile(r"[^ \t\r\n\f\v]{1,4000}")
+_WORD = re.compile(r"[^ \t\r\n\f\v]+")
+_LONG = 4000  # longer words are read whole, but not remembered
 
 
 def _single(name: str) -> tuple[list[str], dict[str, int]]:
@@ -105,21 +107,30 @@ def _given(name: str) -> re.Pattern:
 _SEQUENCES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 
 
+_BAD = threading.local()
+
+
+def _skip(e: UnicodeDecodeError) -> tuple[str, int]:
+    _BAD.bad.append((e.start, e.end))
+    return "", e.end
+
+
+codecs.register_error("stratagraph.bad", _skip)  # one pass over the bytes, however many don't decode
+
+
 def _runs(data: bytes, name: str) -> Iterator[tuple[int, int]]:
     """Maximal runs of bytes that decode and hold one beyond ASCII."""
     if name == "utf-8":
         yield from (m.span() for m in _SEQUENCES.finditer(data))
         return
+    bad: list[tuple[int, int]] = []
+    _BAD.bad = bad
+    data.decode(name, "stratagraph.bad")
     at = 0
-    while at < len(data):
-        end = after = len(data)
-        try:
-            data[at:].decode(name)
-        except UnicodeDecodeError as e:
-            end, after = at + e.start, at + e.end
-        if not data[at:end].isascii():
-            yield at, end
-        at = after
+    for start, end in [*bad, (len(data), len(data))]:
+        if not data[at:start].isascii():
+            yield at, start
+        at = end
 
 
 def _parts(word: str, wrong: str) -> list[tuple[int, str, bytes]]:
@@ -315,7 +326,8 @@ class Judge:
             got = self._word(word)
             if len(self.known) > 300_000:
                 self.known.clear()
-            self.known[word] = got
+            if len(word) <= _LONG:
+                self.known[word] = got
         return got
 
     def _word(self, word: str) -> tuple[tuple[str, float, str], ...]:
@@ -405,11 +417,14 @@ def _model(rows: DataFrame, corpus=None) -> CharModel:
         def pour() -> None:
             for w, n in words.items():
                 if whole is not None:
-                    if w not in known:
+                    out = known.get(w)
+                    if out is None:
+                        out = whole.suspect(w)
                         if len(known) > 300_000:
                             known.clear()
-                        known[w] = whole.suspect(w)
-                    if known[w]:
+                        if len(w) <= _LONG:
+                            known[w] = out
+                    if out:
                         continue
                 for g in CharModel.grams(w):
                     a, b = _slots(g)
@@ -418,12 +433,15 @@ def _model(rows: DataFrame, corpus=None) -> CharModel:
                 table[-1] += n * (len(w) + 1)
             words.clear()
 
+        held = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text and not text.isascii():
                     words.update(w for w in _WORD.findall(text) if not w.isascii())
-                    if len(words) > 50_000:
+                    held += len(text)
+                    if len(words) > 50_000 or held > 50_000_000:
                         pour()
+                        held = 0
         pour()
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at])], names=["slot", "c"])

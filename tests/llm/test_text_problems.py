@@ -208,3 +208,15 @@ def test_mojibake_next_to_intact_characters(spark):
     bad = {1000: ("The “core" + hurt("”") + " rule.", "The “core” rule."), 1001: ("設定" + hurt("ファイル") + "を置き換えた。", PLAIN[4])}
     df = spark.createDataFrame(docs + [(k, v[0], "s", "k") for k, v in bad.items()] + [(2000, "The “core” rule.", "s", "k")], "doc_id long, text string, source string, kind string")
     assert {r["doc_id"]: r["repaired"] for r in mojibake.restore(df).collect()} == {k: v[1] for k, v in bad.items()}
+
+
+def test_mojibake_in_long_unbroken_runs():
+    text = "設定ファイルを置き換えた。" * 350
+    model = mojibake.CharModel(__import__("numpy").zeros(mojibake.SIZE), 0.0)
+    for g in mojibake.CharModel.grams(text):
+        for slot in mojibake._slots(g):
+            model.counts[slot] += 1
+        model.total += 1
+    judge, hurt = mojibake.Judge(model), damage(text, "utf-8", "cp1252")
+    assert judge.text(hurt)[0] == "cp1252>utf-8" and judge.repair("x " + hurt, "cp1252>utf-8") == "x " + text
+    assert mojibake.undo(text[:4100] + damage(text[4100:], "utf-8", "cp1252"), "cp1252>utf-8") == text
