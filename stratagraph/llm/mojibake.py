@@ -49,6 +49,7 @@ _MASK = (1 << BITS) - 1
 SIZE = 2 << BITS  # two rows
 _FLOOR = 1e-7
 OTHER = "other"
+AND = " & "  # between the chains of a text
 SUSPECT = 1.5  # mean log ratio of n-gram counts
 MARGIN = 2.5  # what a single word must gain before it counts
 _HIGH = re.compile(r"[^\x00-\x7f]")
@@ -314,6 +315,8 @@ class Judge:
 
     def log_share(self, chain: str) -> float:
         """Log of the chain's share of all damage; before any is known, earlier encodings of the lists are likelier by a hair."""
+        if AND in chain:
+            return sum(map(self.log_share, chain.split(AND)))
         if self.shares:
             return math.log(self.shares.get(chain, self.shares[OTHER]))
         wrong, true = chain.rpartition("|")[2].split(">")
@@ -339,7 +342,7 @@ class Judge:
         judged: dict[str, tuple[float, float | None]] = {}
         seen, level = {word}, [("", word)]
         for _ in range(self.depth):
-            after: list[tuple[float, str, str]] = []
+            after: list[tuple[str, str]] = []
             for chain, text in level:
                 for wrong, true, fixed, unit in undo_once(text):
                     name = f"{chain}|{wrong}>{true}" if chain else f"{wrong}>{true}"
@@ -354,14 +357,14 @@ class Judge:
                         out[name] = gain
                     if true == "utf-8" and fixed not in seen:  # only what became shorter can have been damaged before
                         seen.add(fixed)
-                        after.append((-known, name, fixed))
-            level = [(n, f) for _, n, f in sorted(after)[:4]]
+                        after.append((name, fixed))
+            level = after
             if not level:
                 break
-        return tuple((c, g, units[c]) for c, g in sorted(out.items(), key=lambda x: -x[1])[:24])
+        return tuple((c, g, units[c]) for c, g in sorted(out.items(), key=lambda x: -x[1]))
 
     def text(self, text: str | None) -> tuple[str, float, int]:
-        """(best chain, its pooled ratio, lost characters)."""
+        """(best chains, their pooled ratio, lost characters): the parts of a text may have gone through different ones."""
         if not text or text.isascii():
             return "", 0.0, 0
         skip = mentioned(text) if any(q in text for q in "\"'`‘“«„") else set()
@@ -381,17 +384,29 @@ class Judge:
                     of[high] = gain - MARGIN
         if not pooled:
             return "", 0.0, lost
-        gain, chain = max((sum(of.values()) + self.log_share(c), c) for c, of in pooled.items())
-        return chain, gain - self.log_share(chain), lost
-
-    def repair(self, text: str, chain: str) -> str:
-        """Each word that the chain makes more likely, and those between them that it can undo, undone."""
-        skip = mentioned(text)
-        words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if not m.group().isascii()]
-        gains = [-1.0 if any(a <= s < b for s in skip) else next((g for c, g, _ in self.word(w) if c == chain), 0.0) for a, b, w in words]
+        # The chain that explains most, then each further one that explains more than its share costs.
+        chains, best, total = [], {}, 0.0
+        while pooled:
+            more = lambda c: sum(max(0.0, g - best.get(h, 0.0)) for h, g in pooled[c].items())  # noqa: B023, E731
+            gain, chain = max((more(c) + self.log_share(c), c) for c in pooled)
+            if chains and gain <= 0:
+                break
+            chains.append(chain)
+            total += more(chain)
+            for h, g in pooled.pop(chain).items():
+                best[h] = max(g, best.get(h, 0.0))
+        return AND.join(chains), total, lost
+
+    def repair(self, text: str, chains: str) -> str:
+        """Each word that one of the chains makes more likely undone by the likeliest of them."""
+        skip, of = mentioned(text), chains.split(AND)
         out, at = [], 0
-        for (a, b, w), g in zip(words, gains):
-            if g > 0 and (fixed := undo(w, chain)) is not None:
+        for m in _WORD.finditer(text):
+            a, b, w = m.start(), m.end(), m.group()
+            if w.isascii() or any(a <= s < b for s in skip):
+                continue
+            gains = [(g + self.log_share(c), c) for c, g, _ in self.word(w) if c in of]
+            if gains and (fixed := undo(w, max(gains)[1])) is not None:
                 out += [text[at:a], fixed]
                 at = b
         return "".join(out) + text[at:]
@@ -521,7 +536,10 @@ def _priors(judged: DataFrame) -> tuple[float, dict[str, float]]:
     """The overall rate of damage and the share of each chain, from the posteriors; as many rows as there are chains."""
     p = 1 / (1 + F.exp(-F.col("odds")))
     rows = judged.groupBy("chain").agg(F.sum(p).alias("w"), F.count(F.lit(1)).alias("n")).collect()
-    weight = {r["chain"]: r["w"] for r in rows if r["chain"]}
+    weight: dict[str, float] = defaultdict(float)
+    for r in rows:
+        for chain in filter(None, r["chain"].split(AND)):
+            weight[chain] += r["w"]
     n, total = sum(r["n"] for r in rows), sum(r["w"] for r in rows)
     known = sum(weight.values()) + 50.0
     return min(max((total + 1) / (n + 50), 1e-4), 0.5), {c: (w + 0.5) / known for c, w in weight.items()} | {OTHER: 0.5 / known}

@@ -220,3 +220,10 @@ def test_mojibake_in_long_unbroken_runs():
     judge, hurt = mojibake.Judge(model), damage(text, "utf-8", "cp1252")
     assert judge.text(hurt)[0] == "cp1252>utf-8" and judge.repair("x " + hurt, "cp1252>utf-8") == "x " + text
     assert mojibake.undo(text[:4100] + damage(text[4100:], "utf-8", "cp1252"), "cp1252>utf-8") == text
+
+
+def test_mojibake_of_two_kinds_in_one_text(spark):
+    docs = [(i, PLAIN[i % 5] + f" Nr {i}. " + PLAIN[(i * 3) % 5], "s", "k") for i in range(600)]
+    hurt = damage(PLAIN[0], "utf-8", "cp1252") + " " + damage(PLAIN[2], "cp1251", "koi8-r")
+    df = spark.createDataFrame(docs + [(1000, hurt, "s", "k")], "doc_id long, text string, source string, kind string")
+    assert {r["doc_id"]: r["repaired"] for r in mojibake.restore(df).collect()} == {1000: PLAIN[0] + " " + PLAIN[2]}
