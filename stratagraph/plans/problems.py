@@ -58,8 +58,9 @@ def _p4_combined(spark: SparkSession, d: str) -> DataFrame:
     c = current_components(spark, d)
     probes = table(spark, d, "probe_results").select("probe_id", "kind", "fan_out", F.to_date("probed_at").alias("day")).distinct()
     loc = radix_select.combine(radix_select.sketch(c, "language", "snapshot_no", "loc"), PS)
+    churn = radix_select.combine(radix_select.sketch(c, "language", "snapshot_no", "churn"), PS)
     fan = radix_select.combine(radix_select.sketch(probes, "kind", "day", "fan_out"), PS)
-    return loc.select(F.lit("loc").alias("measure"), "*").unionByName(fan.select(F.lit("fan_out").alias("measure"), "*"))
+    return loc.select(F.lit("loc").alias("measure"), "*").unionByName(churn.select(F.lit("churn").alias("measure"), "*")).unionByName(fan.select(F.lit("fan_out").alias("measure"), "*"))
 
 
 def _p4_snapshots(spark: SparkSession, d: str) -> DataFrame:

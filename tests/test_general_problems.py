@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratagraph.operators import heavy_keys, orphans, radix_select, snapshot_diff
@@ -137,3 +138,15 @@ def test_lookup_ways_agree(spark):
     assert a == b and (900, None) in a and (0, 2) in a and (1, 1) in a
     ranked = global_rank(rows, ["v", "id"], "n").select("id", "v", "n").collect()
     assert [r["n"] for r in sorted(ranked, key=lambda r: (r["v"], r["id"]))] == list(range(1, 202))
+
+
+def test_combined_sketches_hold_all_measures(spark):
+    import os
+
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    exact = {(r["measure"], r["grp"], r["p"]) for r in e.queries()["p4_percentiles"](spark, d).collect()}
+    assert {(r["measure"], r["grp"], r["p"]) for r in e.queries()["p4_combined"](spark, d).collect()} == exact
