@@ -1,22 +1,26 @@
 """Text that went through a wrong decoding (problem 9): expectation-maximisation over latent encoding chains.
 
 The hidden variable of a record is the chain of (wrong decoder, true encoding) steps that its text, or a part of it, went
-through; most often the empty chain. Given a chain, the observed words are as likely as the words before it, under a
-character model of intact text. Neither the model nor how often each source and field is hit is known:
+through; most often the empty chain. Given a chain, the observed units (stretches without blanks and ASCII punctuation) are as
+likely as the units before it, under a character model of intact text. Neither the model nor how often each chain hits each
+source and field is known. Everything that depends on a unit alone is done once per distinct unit of the corpus:
 
-* E step: for each word with characters beyond ASCII, the log-likelihood ratio of every chain that can be undone; a record
-  pools the ratios of its words, and its posterior adds the prior of its source and field.
-* Start: counts over the whole corpus tell which words some step back makes far more common; the first model leaves them out.
-* M step: the character model is counted again over the records as repaired by their posterior, and the priors of the
-  chains over all records and of damage in each (source, field) are set from the posteriors, shrunk to the overall rate.
+* Steps back: all texts that some chain leads back to, at any depth, with characters that the corpus knows.
+* Start: the first model leaves out units that some step back makes far more common in the whole corpus.
+* E step: the log-likelihood ratio of every (unit, chain) under the model; a record pools the best ratio of each damaged
+  sequence, and its posterior over the chains adds the prior of its source and field.
+* M step: a source and field's share of each chain is set from the posteriors, shrunk to the chain's share of all damage; the
+  character counts move from each unit to the units before it by the weight of the posteriors.
 
-The character model is a table of hashed 1- to 4-gram counts of fixed size, so that it can be broadcast; it is counted over
-all records. Characters lost for good (U+FFFD) are a step that cannot be undone. Sequences that a text merely mentions -
-quoted, short, with their right form quoted nearby - are no evidence.
+Characters lost for good (U+FFFD) are a step like others: any of about a hundred characters may have stood there. A record is
+repaired unit by unit: by its likeliest chain, and by further ones for units which that one leaves damaged.
+
+The character model is a table of hashed 1- to 4-gram counts of fixed size, so that it can be broadcast. Sequences that a text
+merely mentions - quoted, short, with their right form quoted nearby - are no evidence.
 
 Defined cases: null, empty, blank and plain ASCII texts are intact; null source or field is a group like any other; repeated
-rows are judged alike; long texts and words are read whole; a word is cut at blanks only; an empty table gives no rows;
-extra columns are never read.
+rows are judged alike and all come out; long texts and units are read whole; an empty table gives no rows; extra columns are
+never read.
 """
 
 from __future__ import annotations
@@ -24,17 +28,18 @@ from __future__ import annotations
 import bisect
 import codecs
 import functools
+import hashlib
 import math
 import re
 import threading
 import uuid
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,14 +53,18 @@ BITS = 20
 _MASK = (1 << BITS) - 1
 SIZE = 2 << BITS  # two rows
 _FLOOR = 1e-7
-OTHER = "other"
+_LOG_FLOOR = math.log(_FLOOR)
+LOST = "lost"
 AND = " & "  # between the chains of a text
-SUSPECT = 1.5  # mean log ratio of n-gram counts
-MARGIN = 2.5  # what a single word must gain before it counts
+SUSPECT = 1.5  # mean log ratio of the counts of differing n-grams
+MARGIN = 2.5  # what a unit must gain before it counts, and twice that by every further step
+SLACK = 5.0  # candidates that are worse than the unit by more than this under the first model are dropped,
+WITHIN = 12.0  # and those worse than the unit's best candidate by more than this
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _CONTROL = re.compile(r"[\x80-\x9f]")
-_WORD = re.compile(r"[^ \t\r\n\f\v]+")
-_LONG = 4000  # longer words are read whole, but not remembered
+#: Blanks and these signs are no trail bytes of any encoding in the lists.
+_UNIT = re.compile(r"[^\x00-\x20!-/:-?\x7f]+")
+_QUOTED_LOSS = re.compile(r"(?<![^ \t\r\n\f\v])[\"'`‘“(]+\ufffd+[\"'`’”).,;:]+(?![^ \t\r\n\f\v])")
 
 
 def _single(name: str) -> tuple[list[str], dict[str, int]]:
@@ -134,14 +143,14 @@ def _runs(data: bytes, name: str) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _parts(word: str, wrong: str) -> list[tuple[int, str, bytes]]:
+def _parts(word: str, wrong: str) -> tuple[tuple[int, str, bytes], ...]:
     """(start, text, bytes) of the word's stretches beyond ASCII that the decoder can give."""
-    return [(m.start(), m.group(), to_bytes(m.group(), wrong)) for m in _given(wrong).finditer(word) if not m.group().isascii()]
+    return tuple((m.start(), m.group(), to_bytes(m.group(), wrong)) for m in _given(wrong).finditer(word) if not m.group().isascii())
 
 
-def _spliced(word: str, wrong: str, true: str, parts: list[tuple[int, str, bytes]]) -> tuple[str, str] | None:
-    """The word with only those runs undone that decode, and the characters beyond ASCII of these."""
-    out, gone, at = [], [], 0
+def _spliced(word: str, wrong: str, true: str, parts: tuple[tuple[int, str, bytes], ...]) -> str | None:
+    """The word with the runs undone that decode: intact characters may stand next to damaged ones."""
+    out, at = [], 0
     for start, text, data in parts:
         if true not in MULTI:
             runs = [(start, start + len(text), from_bytes(data, true))]
@@ -162,47 +171,34 @@ def _spliced(word: str, wrong: str, true: str, parts: list[tuple[int, str, bytes
         for a, b, fixed in runs:
             if fixed != word[a:b]:
                 out += [word[at:a], fixed]
-                gone += _HIGH.findall(word[a:b])
                 at = b
-    return ("".join(out) + word[at:], "".join(gone)) if out else None
-
-
-def undo_once(word: str) -> Iterator[tuple[str, str, str, str]]:
-    """(wrong decoder, true encoding, text, characters undone) of every single step that can be undone and changes the word.
-
-    Where the whole word can't be undone, its runs that can are: intact characters may stand next to damaged ones.
-    """
-    high = "".join(_HIGH.findall(word))
-    for wrong in WRONG:
-        data, parts = to_bytes(word, wrong), None
-        for true in TRUE:
-            if true == wrong:
-                continue
-            out = from_bytes(data, true) if data is not None else None
-            if out is not None:
-                if out != word:
-                    yield wrong, true, out, high
-                continue
-            if parts is None:
-                parts = _parts(word, wrong)
-            if parts and (some := _spliced(word, wrong, true, parts)):
-                yield wrong, true, *some
+    return "".join(out) + word[at:] if out else None
 
 
 def undo(word: str, chain: str) -> str | None:
     for step in chain.split("|") if chain else ():
         wrong, true = step.split(">")
-        data = to_bytes(word, wrong)
-        out = from_bytes(data, true) if data is not None else None
-        if out is None:
-            some = _spliced(word, wrong, true, _parts(word, wrong))
-            if some is None:
-                return None
-            out = some[0]
-        word = out
+        word = _spliced(word, wrong, true, _parts(word, wrong))
+        if word is None:
+            return None
     return word
 
 
+def undo_once(word: str) -> dict[str, list[str]]:
+    """Text -> its steps ``wrong>true``, of every single step that can be undone and changes the word."""
+    same: dict[tuple, list[str]] = defaultdict(list)
+    for wrong in WRONG:
+        if parts := _parts(word, wrong):
+            same[(wrong in MULTI and wrong, parts)].append(wrong)  # many decoders give the same bytes
+    out: dict[str, list[str]] = defaultdict(list)
+    for (_, parts), wrongs in same.items():
+        for true in TRUE:
+            others = [w for w in wrongs if w != true]
+            if others and (fixed := _spliced(word, others[0], true, parts)) is not None:
+                out[fixed] += [f"{w}>{true}" for w in others]
+    return out
+
+
 def _slots(gram: str) -> tuple[int, int]:
     """The gram's places in the two rows of the table; the smaller count of the two is believed, so that a collision in one does no harm."""
     raw = gram.encode("utf-8", "surrogatepass")
@@ -218,7 +214,7 @@ class CharModel:
     WEIGHTS = (0.05, 0.15, 0.3, 0.5)
 
     def __init__(self, counts: np.ndarray, total: float):
-        self.counts, self.total, self.known, self.met = counts, max(total, 1.0), {}, {}
+        self.counts, self.total, self.known, self.met, self.logs = counts, max(total, 1.0), {}, {}, {}
 
     @staticmethod
     def grams(word: str) -> Iterator[str]:
@@ -231,6 +227,8 @@ class CharModel:
                     yield "c" + s[i - n : i]
 
     def char(self, context: str, c: str) -> float:
+        if c == "\ufffd":  # no intact text holds it
+            return _LOG_FLOOR
         key = context + c
         got = self.known.get(key)
         if got is None:
@@ -240,7 +238,7 @@ class CharModel:
                 seen = counts_of(counts, "c" + ctx)
                 # What a context has rarely seen is weighed down by the weight of one unseen case.
                 p += self.WEIGHTS[n] * min(seen, counts_of(counts, str(n + 1) + ctx + c)) / (seen + 1.0)
-            got = math.log(p + _FLOOR)
+            got = math.log(max(p, 0.0) + _FLOOR)
             if len(self.known) > 1_000_000:
                 self.known.clear()
             self.known[key] = got
@@ -256,24 +254,38 @@ class CharModel:
                 break
         return p
 
+    def logp_lost(self, word: str) -> float:
+        """Log-likelihood where each U+FFFD stands for any of about a hundred characters, and contexts start anew after it."""
+        pieces = re.split("\ufffd+", word)
+        p = word.count("\ufffd") * math.log(0.01)
+        for k, piece in enumerate(pieces):
+            s = ("\x02" if k == 0 else "") + piece.translate(_DIGITS) + ("\x03" if k == len(pieces) - 1 else "")
+            p += sum(self.char(s[max(0, i - 3) : i], s[i]) for i in range(1 if k == 0 else 0, len(s)))
+        return p
+
+    def ratio(self, word: str, plain: str) -> float:
+        """Mean log count of the 4-grams that only ``plain`` has, over that of those that only ``word`` has."""
+        a, b = self._wide(word), self._wide(plain)
+        mean = lambda own, other: sum(map(self._log, x)) / len(x) if (x := [g for g in own if g not in other]) else 0.0
+        return mean(b, a) - mean(a, b)
+
     def commonness(self, word: str) -> float:
         """Mean log count of the word's 4-grams, which repeated damage can't raise over that of the intact form as it can the conditional odds."""
+        wide = self._wide(word)
+        return sum(map(self._log, wide)) / len(wide)
+
+    @staticmethod
+    def _wide(word: str) -> dict[str, None]:
         s = "\x02" + word.translate(_DIGITS) + "\x03"
-        grams = [f"{min(i, 3) + 1}{s[max(0, i - 3) : i + 1]}" for i in range(1, len(s))]
-        return sum(math.log1p(counts_of(self.counts, g)) for g in grams) / len(grams)
-
-    def suspect(self, word: str) -> bool:
-        """Whether some step back makes the word far more common in the whole corpus."""
-        if len(word) < 2:
-            return False
-        here = self.commonness(word) + SUSPECT
-        for _, true, fixed, _ in undo_once(word):
-            if _CONTROL.search(fixed) and true != "utf-8":
-                continue
-            common = self.commonness(fixed.replace("\ufeff", ""))
-            if common > here or (true == "utf-8" and common > here - SUSPECT - 0.5):
-                return True
-        return False
+        return dict.fromkeys(f"{min(i, 3) + 1}{s[max(0, i - 3) : i + 1]}" for i in range(1, len(s)))
+
+    def _log(self, gram: str) -> float:
+        got = self.logs.get(gram)
+        if got is None:
+            if len(self.logs) > 1_000_000:
+                self.logs.clear()
+            got = self.logs[gram] = math.log1p(counts_of(self.counts, gram))
+        return got
 
     def has(self, c: str) -> bool:
         got = self.met.get(c)
@@ -281,6 +293,54 @@ class CharModel:
             got = self.met[c] = c < "\x80" or counts_of(self.counts, "1" + c) > 0
         return got
 
+    def familiar(self, text: str) -> bool:
+        """Hardly a character that the corpus lacks; controls may come of a wrong decoding."""
+        return sum(map(self.has, text)) + len(_CONTROL.findall(text)) > 0.9 * len(text)
+
+    def plausible(self, text: str) -> bool:
+        return not _CONTROL.search(text) and self.familiar(text)
+
+    def candidates(self, word: str) -> list[tuple[str, int, list[str]]]:
+        """(text, steps, chains) of all plausible texts that chains lead back to.
+
+        A further step is tried where the last one was from UTF-8, as only what became shorter can have been damaged before, so
+        every way ends.
+        """
+        out: list[tuple[str, int, list[str]]] = []
+        seen, level, depth = {word}, {word: [""]}, 0
+        while level:
+            depth += 1
+            after: dict[str, list[str]] = {}
+            found: dict[str, list[str]] = defaultdict(list)
+            for text, chains in level.items():
+                for fixed, steps in undo_once(text).items():
+                    if fixed in seen:
+                        continue
+                    found[fixed] += [f"{c}|{s}" if c else s for c in chains for s in steps]
+                    back = [f"{c}|{s}" if c else s for c in chains for s in steps if s.endswith(">utf-8")]
+                    if back and not fixed.isascii() and self.familiar(fixed):
+                        after.setdefault(fixed, []).extend(back)
+            for fixed, chains in found.items():
+                plain = fixed.replace("\ufeff", "")  # a byte order mark belongs to no word
+                if plain and self.plausible(plain):
+                    out.append((plain, depth, chains))
+            seen |= set(found)
+            level = after
+        return out
+
+    def suspect(self, word: str, candidates: list[tuple[str, int, list[str]]]) -> bool:
+        """Whether characters were lost, or some single step back makes the word far more common in the whole corpus, or one from UTF-8 no less common."""
+        if "\ufffd" in word or len(word) < 2:
+            return "\ufffd" in word
+        here = self.commonness(word)
+        for plain, depth, chains in candidates:
+            if depth == 1 and max(self.commonness(plain) - here, self.ratio(word, plain)) > (-0.5 if any(c.endswith(">utf-8") for c in chains) else SUSPECT):
+                return True
+        return False
+
+    def gain(self, word: str, here: float, plain: str, depth: int, least: float = 0.0) -> float:
+        return self.logp(plain, here + least) - here - 2 * MARGIN * (depth - 1)
+
 
 def counts_of(counts: np.ndarray, gram: str) -> float:
     a, b = _slots(gram)
@@ -288,6 +348,12 @@ def counts_of(counts: np.ndarray, gram: str) -> float:
 
 
 _QUOTED = re.compile(r"([\"'`‘“«„])([^\s\"'`‘’“”«»]{1,12})([\"'`’”»“])")
+_LOOSE = re.compile(r"[\"'`]([^\x00-\x7f\s]{1,12})[\"'`]")
+
+
+@functools.lru_cache(200_000)
+def _short_forms(quoted: str) -> tuple[str, ...]:
+    return tuple(r for r in undo_once(quoted) if len(r) < len(quoted) and len(r) <= 3)
 
 
 def mentioned(text: str) -> set[int]:
@@ -295,269 +361,350 @@ def mentioned(text: str) -> set[int]:
     out: set[int] = set()
     quoted = [(m.start(2), m.group(2)) for m in _QUOTED.finditer(text)]
     # A quoted curly quote hides from the pattern above; its neighbour then stands alone.
-    loose = [(m.start(1), m.group(1)) for m in re.finditer(r"[\"'`]([^\x00-\x7f\s]{1,12})[\"'`]", text)]
+    loose = [(m.start(1), m.group(1)) for m in _LOOSE.finditer(text)]
     for at, q in {*quoted, *loose}:
-        if not _HIGH.search(q) or len(q) < 2:
+        if len(q) < 2 or q.isascii():
             continue
-        for _, _, r, _ in undo_once(q):
-            near = [m.start() for m in re.finditer(re.escape(r), text) if abs(m.start() - at) < 120 and m.start() != at] if len(r) < len(q) and len(r) <= 3 else []
+        around = max(0, at - 119)
+        for r in _short_forms(q):
+            near = [around + m.start() for m in re.finditer(re.escape(r), text[around : at + 119 + len(r)]) if around + m.start() != at]
             if near:
                 out.update([at, *near])
                 break
     return out
 
 
-class Judge:
-    """Ratios of chains for words, under one model; bounded memory."""
+def units(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the units beyond ASCII that are evidence."""
+    skip = mentioned(text) if any(q in text for q in "\"'`‘“«„") else set()
+    if "\ufffd" in text:
+        skip = skip | {i for m in _QUOTED_LOSS.finditer(text) for i in range(*m.span())}
+    for m in _UNIT.finditer(text):
+        if not m.group().isascii() and not (skip and any(m.start() <= s < m.end() for s in skip)):
+            yield m.span()
 
-    def __init__(self, model: CharModel, shares: dict[str, float] | None = None, depth: int = 3):
-        self.model, self.shares, self.depth, self.known = model, shares or {}, depth, {}
 
-    def log_share(self, chain: str) -> float:
-        """Log of the chain's share of all damage; before any is known, earlier encodings of the lists are likelier by a hair."""
-        if AND in chain:
-            return sum(map(self.log_share, chain.split(AND)))
-        if self.shares:
-            return math.log(self.shares.get(chain, self.shares[OTHER]))
-        wrong, true = chain.rpartition("|")[2].split(">")
-        return -4.0 - 0.01 * (TRUE.index(true) + WRONG.index(wrong)) - 2.0 * chain.count("|")
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    def word(self, word: str) -> tuple[tuple[str, float, str], ...]:
-        """((chain, log-likelihood ratio against the word as it stands, characters undone), ...) of chains that gain."""
-        got = self.known.get(word)
-        if got is None:
-            got = self._word(word)
-            if len(self.known) > 300_000:
-                self.known.clear()
-            if len(word) <= _LONG:
-                self.known[word] = got
-        return got
 
-    def _word(self, word: str) -> tuple[tuple[str, float, str], ...]:
-        here = self.model.logp(word)
-        if here > -6.0:  # no chain could gain enough
-            return ()
-        out: dict[str, float] = {}
-        units: dict[str, str] = {"": ""}
-        judged: dict[str, tuple[float, float | None]] = {}
-        seen, level = {word}, [("", word)]
-        for _ in range(self.depth):
-            after: list[tuple[str, str]] = []
-            for chain, text in level:
-                for wrong, true, fixed, unit in undo_once(text):
-                    name = f"{chain}|{wrong}>{true}" if chain else f"{wrong}>{true}"
-                    if fixed not in judged:  # many steps give the same text
-                        plain = fixed.replace("\ufeff", "")  # a byte order mark belongs to no word
-                        known = sum(map(self.model.has, plain)) / max(1, len(plain))
-                        judged[fixed] = known, self.model.logp(plain, here - 0.001) - here if known > 0.9 and not _CONTROL.search(plain) else None
-                    known, gain = judged[fixed]
-                    units[name] = units[chain] or unit
-                    # A further step must explain more than the chain without it does.
-                    if gain is not None and gain > (out.get(chain, 0.0) + 2 * MARGIN if chain else 0.0):
-                        out[name] = gain
-                    if true == "utf-8" and fixed not in seen:  # only what became shorter can have been damaged before
-                        seen.add(fixed)
-                        after.append((name, fixed))
-            level = after
-            if not level:
-                break
-        return tuple((c, g, units[c]) for c, g in sorted(out.items(), key=lambda x: -x[1]))
-
-    def text(self, text: str | None) -> tuple[str, float, int]:
-        """(best chains, their pooled ratio, lost characters): the parts of a text may have gone through different ones."""
-        if not text or text.isascii():
-            return "", 0.0, 0
-        skip = mentioned(text) if any(q in text for q in "\"'`‘“«„") else set()
-        # The same damaged characters are the same evidence, however often they come: the best word counts for them.
-        pooled: dict[str, dict[str, float]] = defaultdict(dict)
-        lost = 0
-        for w in dict.fromkeys(m.group() for m in _WORD.finditer(text) if not (skip and any(m.start() <= s < m.end() for s in skip))):
-            if w.isascii():
-                continue
-            if "\ufffd" in w and not re.fullmatch(r"[\"'`‘“(]+\ufffd+[\"'`’”).,;:]+", w):
-                lost += w.count("\ufffd")
-            for chain, gain, high in self.word(w):
-                if gain <= MARGIN:
-                    break
-                of = pooled[chain]
-                if gain - MARGIN > of.get(high, 0.0):
-                    of[high] = gain - MARGIN
-        if not pooled:
-            return "", 0.0, lost
-        # The chain that explains most, then each further one that explains more than its share costs.
-        chains, best, total = [], {}, 0.0
-        while pooled:
-            more = lambda c: sum(max(0.0, g - best.get(h, 0.0)) for h, g in pooled[c].items())  # noqa: B023, E731
-            gain, chain = max((more(c) + self.log_share(c), c) for c in pooled)
-            if chains and gain <= 0:
-                break
-            chains.append(chain)
-            total += more(chain)
-            for h, g in pooled.pop(chain).items():
-                best[h] = max(g, best.get(h, 0.0))
-        return AND.join(chains), total, lost
-
-    def repair(self, text: str, chains: str) -> str:
-        """Each word that one of the chains makes more likely undone by the likeliest of them."""
-        skip, of = mentioned(text), chains.split(AND)
-        out, at = [], 0
-        for m in _WORD.finditer(text):
-            a, b, w = m.start(), m.end(), m.group()
-            if w.isascii() or any(a <= s < b for s in skip):
-                continue
-            gains = [(g + self.log_share(c), c) for c, g, _ in self.word(w) if c in of]
-            if gains and (fixed := undo(w, max(gains)[1])) is not None:
-                out += [text[at:a], fixed]
-                at = b
-        return "".join(out) + text[at:]
+def _damaged(word: str) -> int:
+    """A number for the word's characters beyond ASCII: the same damaged characters are the same evidence, however often they come."""
+    return _number("".join(_HIGH.findall(word)))
 
 
-def _gram_schema() -> T.StructType:
-    return T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("c", T.DoubleType())])
+# -- over the distinct units ---------------------------------------------------------------------------------
 
+_KEY = ["h1", "h2"]  # 96 bits for a unit, where its text isn't needed
 
-def _model(rows: DataFrame, corpus=None) -> CharModel:
-    """The model of (text) rows: counted in every task into a table of fixed size, then added up.
 
-    With the counts of the whole corpus (a broadcast), words that some step back makes far more common are left out: else the
-    model would learn the damage that repeats itself, and take it for a language of its own.
-    """
+def _key(column: str = "word") -> list:
+    return [F.xxhash64(column).alias("h1"), F.hash(column).alias("h2")]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SIZE + 1)
-        words: Counter[str] = Counter()
-        known: dict[str, bool] = {}
-        whole = CharModel(*corpus.value) if corpus is not None else None
-
-        def pour() -> None:
-            for w, n in words.items():
-                if whole is not None:
-                    out = known.get(w)
-                    if out is None:
-                        out = whole.suspect(w)
-                        if len(known) > 300_000:
-                            known.clear()
-                        if len(w) <= _LONG:
-                            known[w] = out
-                    if out:
-                        continue
-                for g in CharModel.grams(w):
-                    a, b = _slots(g)
-                    table[a] += n
-                    table[b] += n
-                table[-1] += n * (len(w) + 1)
-            words.clear()
 
-        held = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and not text.isascii():
-                    words.update(w for w in _WORD.findall(text) if not w.isascii())
-                    held += len(text)
-                    if len(words) > 50_000 or held > 50_000_000:
-                        pour()
-                        held = 0
-        pour()
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at])], names=["slot", "c"])
+_CAND = "struct<plain:string,depth:int,sig:bigint,chains:array<string>>"
+
 
-    summed = rows.mapInArrow(count, _gram_schema()).groupBy("slot").agg(F.sum("c").alias("c")).toPandas()  # at most SIZE + 1 rows
-    counts = np.zeros(SIZE, np.float32)
-    inside = summed["slot"].to_numpy() < SIZE
-    counts[summed["slot"].to_numpy()[inside]] = summed["c"].to_numpy()[inside]
-    total = float(summed["c"].to_numpy()[~inside].sum())
-    return CharModel(counts, total)
+def _cached(shared) -> CharModel:
+    """The worker's model for a broadcast (name, counts, total)."""
+    name, counts, total = shared.value
+    if name not in _MODELS:
+        if len(_MODELS) > 1:
+            _MODELS.clear()
+        _MODELS[name] = CharModel(counts, total)
+    return _MODELS[name]
 
 
-_JUDGES: dict[tuple, Judge] = {}
+_MODELS: dict[str, CharModel] = {}
 
 
-def _judge(shared) -> Judge:
-    """The worker's judge for a broadcast (round, counts, total, shares)."""
-    name, counts, total, shares = shared.value
-    if name not in _JUDGES:
-        _JUDGES.clear()
-        _JUDGES[name] = Judge(CharModel(counts, total), shares)
-    return _JUDGES[name]
+def _share(spark, counts: np.ndarray, total: float):
+    """A table of fixed size for the workers."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, counts, total))
 
 
-def _share(spark, model: CharModel, shares: dict[str, float]):
-    """The model for the workers: a table of fixed size and one number a chain."""
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, model.counts, model.total, shares))
+def _counts(weighed: DataFrame) -> tuple[np.ndarray, float]:
+    """Gram counts of (word, weight): counted in every task into a table of fixed size, then added up."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SIZE + 1)
+        for batch in batches:
+            for word, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for g in CharModel.grams(word):
+                    a, b = _slots(g)
+                    table[a] += weight
+                    table[b] += weight
+                table[-1] += weight * (len(word) + 1)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at])], names=["slot", "c"])
+
+    summed = weighed.mapInArrow(count, "slot int, c double").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()  # at most SIZE + 1 rows
+    counts = np.zeros(SIZE + 1, np.float32)
+    counts[summed["slot"].to_numpy()] = summed["c"].to_numpy()
+    return counts[:-1], float(counts[-1])
 
 
-def _evidence(docs: DataFrame, shared) -> DataFrame:
-    """docs plus (chain, gain, log_share, lost)."""
-    names = docs.columns
-    at = names.index("text")
+def _records(docs: DataFrame) -> DataFrame:
+    """(rid, source, field, word): the distinct units beyond ASCII of each record, with a number made of its row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _judge(shared)
         for b in batches:
-            got = [judge.text(t) for t in b.column(at).to_pylist()]
-            more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([judge.log_share(g[0]) if g[0] else 0.0 for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*names, "chain", "gain", "log_share", "lost"])
+            words = [list(dict.fromkeys(t[i:j] for i, j in units(t))) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(words, pa.list_(pa.string()))], names=["rid", "source", "field", "words"])
 
-    more = [T.StructField("chain", T.StringType()), T.StructField("gain", T.DoubleType()), T.StructField("log_share", T.DoubleType()), T.StructField("lost", T.IntegerType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    found = docs.select("rid", "source", "field", "text").mapInArrow(run, "rid string, source string, field string, words array<string>")
+    return checkpoint(found).select("rid", "source", "field", F.explode("words").alias("word"))
 
 
-def _repaired(judged: DataFrame, shared, least: float) -> DataFrame:
-    """judged plus (repaired): the text by its most likely chain, where its posterior odds exceed ``least``."""
-    names = judged.columns
-    t, c, o = names.index("text"), names.index("chain"), names.index("odds")
+def _candidates(words: DataFrame, whole) -> DataFrame:
+    """words (word, n) plus (suspect, cands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _judge(shared)
+        model = _cached(whole)
         for b in batches:
-            out = [judge.repair(x, k) if x and k and odds > least else x for x, k, odds in zip(b.column(t).to_pylist(), b.column(c).to_pylist(), b.column(o).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*names, "repaired"])
+            got = [model.candidates(w) for w in b.column(0).to_pylist()]
+            suspect = [model.suspect(w, c) for w, c in zip(b.column(0).to_pylist(), got)]
+            cands = [[{"plain": p, "depth": d, "sig": _number("\n".join(c)), "chains": c} for p, d, c in g] for g in got]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(suspect), pa.array(cands, _ARROW_CANDS)], names=["word", "n", "suspect", "cands"])
 
-    return judged.mapInArrow(run, T.StructType([*judged.schema.fields, T.StructField("repaired", T.StringType())]))
+    return words.mapInArrow(run, f"word string, n bigint, suspect boolean, cands array<{_CAND}>")
 
 
-def _logit(p):
-    return F.log(p / (1 - p))
+_ARROW_CANDS = pa.list_(pa.struct([("plain", pa.string()), ("depth", pa.int32()), ("sig", pa.int64()), ("chains", pa.list_(pa.string()))]))
 
 
-def _posterior(found: DataFrame, rate: float, shrink: float = 20.0) -> DataFrame:
-    """found plus (odds): log posterior odds of damage, with the prior of the record's source and field."""
-    score = F.col("gain") + F.col("log_share")
-    hit = F.when(F.col("lost") > 0, 1.0).when(F.col("chain") != "", 1 / (1 + F.exp(-(score + math.log(rate / (1 - rate)))))).otherwise(0.0)
-    found = checkpoint(found)  # read twice
-    groups = found.groupBy("source", "field").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("n"))
-    j = lookup(found, groups, ["source", "field"], "doc_id")
-    odds = F.when(F.col("chain") != "", score + _logit((F.coalesce("hits", F.lit(0.0)) + shrink * rate) / (F.coalesce("n", F.lit(0)) + shrink))).otherwise(F.lit(-99.0))
-    # A lost character is no matter of odds.
-    return j.withColumn("odds", F.when(F.col("lost") > 0, F.greatest(odds, F.lit(9.0))).otherwise(odds)).drop("hits", "n")
+def _open(words: DataFrame, model) -> DataFrame:
+    """The units that a chain might explain, with those candidates that the first model doesn't rule out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _cached(model)
+        for b in batches:
+            keep, cands = [], []
+            for i, (word, given) in enumerate(zip(b.column("word").to_pylist(), b.column("cands").to_pylist())):
+                here = m.logp(word)
+                gains = [m.gain(word, here, c["plain"], c["depth"], -SLACK) for c in given]
+                least = max(-SLACK, max(gains, default=0.0) - WITHIN)
+                left = [c for c, g in zip(given, gains) if g > least]
+                if left or "\ufffd" in word:
+                    keep.append(i)
+                    cands.append(left)
+            out = b.select(["word", "n", "suspect"]).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cands, _ARROW_CANDS)], names=["word", "n", "suspect", "cands"])
+
+    return words.mapInArrow(run, f"word string, n bigint, suspect boolean, cands array<{_CAND}>")
 
-def _priors(judged: DataFrame) -> tuple[float, dict[str, float]]:
-    """The overall rate of damage and the share of each chain, from the posteriors; as many rows as there are chains."""
-    p = 1 / (1 + F.exp(-F.col("odds")))
-    rows = judged.groupBy("chain").agg(F.sum(p).alias("w"), F.count(F.lit(1)).alias("n")).collect()
-    weight: dict[str, float] = defaultdict(float)
-    for r in rows:
-        for chain in filter(None, r["chain"].split(AND)):
-            weight[chain] += r["w"]
-    n, total = sum(r["n"] for r in rows), sum(r["w"] for r in rows)
-    known = sum(weight.values()) + 50.0
-    return min(max((total + 1) / (n + 50), 1e-4), 0.5), {c: (w + 0.5) / known for c, w in weight.items()} | {OTHER: 0.5 / known}
+
+def _gains(opened: DataFrame, model) -> DataFrame:
+    """(h1, h2, damaged, gains: [(k, sig, gain)]) of the units that gain over the margin; k is the candidate's place, -1 for lost characters, sig the number of its set of chains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _cached(model)
+        for b in batches:
+            keep, damaged, gains = [], [], []
+            for i, (word, given) in enumerate(zip(b.column("word").to_pylist(), b.column("cands").to_pylist())):
+                here = m.logp(word)
+                found = [m.gain(word, here, c["plain"], c["depth"]) - MARGIN for c in given]
+                least = max(0.0, max(found, default=0.0) - WITHIN)
+                out = [{"k": k, "sig": c["sig"], "gain": g} for k, (c, g) in enumerate(zip(given, found)) if g > least]
+                if "\ufffd" in word and (gain := m.logp_lost(word) - here - MARGIN) > 0:
+                    out.append({"k": -1, "sig": _number(LOST), "gain": gain})
+                if out:
+                    keep.append(i)
+                    damaged.append(_damaged(word))
+                    gains.append(out)
+            kept = b.select(_KEY).take(pa.array(keep, pa.int32()))
+            kind = pa.list_(pa.struct([("k", pa.int32()), ("sig", pa.int64()), ("gain", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(damaged, pa.int64()), pa.array(gains, kind)], names=[*_KEY, "damaged", "gains"])
+
+    return opened.select(*_key(), "word", "cands").mapInArrow(run, "h1 bigint, h2 int, damaged bigint, gains array<struct<k:int,sig:bigint,gain:double>>")
+
+
+def _chains(opened: DataFrame) -> DataFrame:
+    """(sig, chains): the sets of chains that give the same text for some unit; many units share one.
+
+    Of chains that stand in the same sets throughout, which nothing can tell apart, only the likeliest is kept.
+    """
+    sets = checkpoint(opened.select(F.inline("cands")).groupBy("sig").agg(F.first("chains").alias("chains")))
+    where = sets.select("sig", F.explode("chains").alias("chain")).groupBy("chain").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
+    share = F.udf(_first_share, "double")
+    kept = where.withColumn("share", share("chain")).groupBy("sigs").agg(F.max_by("chain", F.struct("share", "chain")).alias("chain"))
+    out = kept.select(F.explode("sigs").alias("sig"), "chain").groupBy("sig").agg(F.collect_list("chain").alias("chains"))
+    lost = opened.sparkSession.createDataFrame([(_number(LOST), [LOST])], "sig bigint, chains array<string>")
+    return checkpoint(out.unionByName(lost))
+
+
+# -- the posteriors ------------------------------------------------------------------------------------------
+
+
+def _first_share(chain):
+    """Log share of a chain before any is known: earlier encodings of the lists are likelier by a hair, further steps rarer."""
+    if chain == LOST:
+        return -4.0
+    steps = [s.split(">") for s in chain.split("|")]
+    return -2.0 - 2.0 * len(steps) - 0.01 * sum(TRUE.index(true) + WRONG.index(wrong) for wrong, true in steps)
+
+
+class Priors:
+    """How often records of a source and field are damaged, and each chain's share of that, shrunk to those of all records."""
+
+    def __init__(self, rate: float = 0.03):
+        self.rate, self.shares, self.groups, self.by_chain, self.other = rate, None, None, None, 0.0
+
+    def learn(self, posts: DataFrame, sizes: DataFrame) -> None:
+        """From (source, field, chain, p) and the (source, field, n) of all records."""
+        rows = posts.groupBy("chain").agg(F.sum("p").alias("w")).collect()  # one row a chain
+        n, total = sizes.agg(F.sum("n")).first()[0] or 0, sum(r["w"] for r in rows)
+        self.rate = min(max((total + 1) / (n + 50), 1e-4), 0.5)
+        self.shares = {r["chain"]: math.log((r["w"] + 0.5) / (total + 50)) for r in rows}
+        self.other = math.log(0.5 / (total + 50))
+        self.by_chain = posts.groupBy("source", "field", "chain").agg(F.sum("p").alias("hits"))
+        self.groups = sizes.join(posts.groupBy("source", "field").agg(F.sum("p").alias("all_hits")), [sizes["source"].eqNullSafe(posts["source"]), sizes["field"].eqNullSafe(posts["field"])], "left").select(sizes["source"], sizes["field"], "n", "all_hits")
+
+    def add(self, scores: DataFrame) -> DataFrame:
+        """scores (rid, source, field, chain, ...) plus (prior): the log prior odds of the chain against none."""
+        shares = F.udf(_first_share, "double")("chain") if self.shares is None else None
+        chains = scores.select("chain").distinct()
+        if self.shares is None:
+            table = chains.withColumn("share", shares)
+            return scores.join(F.broadcast(table), "chain").withColumn("prior", F.col("share") + math.log(self.rate / (1 - self.rate))).drop("share")
+        spark = scores.sparkSession
+        table = spark.createDataFrame(list(self.shares.items()) or [("", 0.0)], "chain string, share double")
+        j = scores.join(F.broadcast(table), "chain", "left").withColumn("share", F.exp(F.coalesce("share", F.lit(self.other))))
+        j = lookup(lookup(j, self.groups, ["source", "field"], "rid"), self.by_chain, ["source", "field", "chain"], "rid")
+        hits, n, own = F.coalesce("all_hits", F.lit(0.0)), F.coalesce("n", F.lit(0)), F.coalesce("hits", F.lit(0.0))
+        rate = (hits + 20.0 * self.rate) / (n + 20.0)
+        share = (own + 20.0 * F.col("share")) / (hits + 20.0)
+        return j.withColumn("prior", F.log(rate * share / (1 - F.least(rate, F.lit(0.999))))).drop("share", "all_hits", "n", "hits")
+
+
+def _evidence(records: DataFrame, gains: DataFrame) -> DataFrame:
+    """(rid, source, field, h1, h2, damaged, k, sig, gain) of the records' units."""
+    j = lookup(records, gains, _KEY, "rid").where(F.col("gains").isNotNull())
+    return j.select("rid", "source", "field", *_KEY, "damaged", F.inline("gains"))
+
+
+def _pooled(evidence: DataFrame, chains: DataFrame) -> DataFrame:
+    """(rid, source, field, sig, gain, chains): of each damaged sequence the best gain by each set of chains, added up."""
+    best = evidence.groupBy("rid", "source", "field", "sig", "damaged").agg(F.max("gain").alias("gain"))
+    return lookup(best.groupBy("rid", "source", "field", "sig").agg(F.sum("gain").alias("gain")), chains, ["sig"], "rid")
+
+
+def _posteriors(pooled: DataFrame, priors: Priors) -> DataFrame:
+    """(rid, source, field, chain, gain, prior, odds, p): every chain's pooled gain and posterior; odds are those of any damage."""
+    each = pooled.select("rid", "source", "field", "gain", F.explode("chains").alias("chain"))
+    scores = priors.add(each.groupBy("rid", "source", "field", "chain").agg(F.sum("gain").alias("gain")))
+    of = Window.partitionBy("rid")
+    sure = scores.withColumn("score", F.col("gain") + F.col("prior")).withColumn("top", F.greatest(F.max("score").over(of), F.lit(0.0))).withColumn("e", F.exp(F.col("score") - F.col("top")))
+    total = F.sum("e").over(of)
+    return sure.withColumn("odds", F.col("top") + F.log(total)).withColumn("p", F.col("e") / (total + F.exp(-F.col("top")))).select("rid", "source", "field", "chain", "gain", "prior", "odds", "p")
+
+
+def _moved(evidence: DataFrame, pooled: DataFrame, posts: DataFrame, opened: DataFrame) -> DataFrame:
+    """(word, weight): what the posteriors take from the units they explain, and give to the units before them."""
+    sure = posts.where("p > 0.01").select("rid", "chain", "p")
+    by_set = pooled.select("rid", "sig", F.explode("chains").alias("chain")).join(sure, ["rid", "chain"]).groupBy("rid", "sig").agg(F.sum("p").alias("p"))
+    w = evidence.join(by_set, ["rid", "sig"]).groupBy(*_KEY, "k").agg(F.sum("p").alias("w"))
+    j = checkpoint(opened.select(*_key(), "word", "suspect", "cands").join(w, _KEY))
+    given = j.where("k >= 0").select(F.element_at(F.col("cands.plain"), F.col("k") + 1).alias("word"), F.col("w").alias("weight"))
+    return given.unionByName(j.where("not suspect").select("word", (-F.col("w")).alias("weight")))
+
+
+class _Fitted:
+    """Outcome of the EM: posteriors of all records that some chain gains for, and what they come from."""
+
+    def __init__(self, posts: DataFrame, model, opened: DataFrame):
+        self.posts, self.model, self.opened = posts, model, opened
+
+
+def _fit(docs: DataFrame, rounds: int) -> _Fitted:
+    spark = docs.sparkSession
+    records = _records(docs)
+    # One row a group; records without units are intact members of theirs.
+    sizes = checkpoint(docs.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n")))
+    words = checkpoint(spread(records.groupBy("word").agg(F.count(F.lit(1)).alias("n"))))
+    words = words.where("word is not null")
+    whole = _share(spark, *_counts(words))
+    cands = checkpoint(_candidates(spread(words), whole))
+    counts, total = _counts(cands.where("not suspect").select("word", "n"))
+    model = _share(spark, counts, total)
+    opened = checkpoint(spread(_open(cands, model)))
+    suspects = lookup(records.select("rid", "source", "field", *_key()), opened.select(*_key(), F.lit(True).alias("open")), _KEY, "rid").where("open").drop("open")
+    suspects = checkpoint(suspects)
+    priors, chains = Priors(), _chains(opened)
+    opened = opened.withColumn("cands", F.transform("cands", lambda c: c.dropFields("chains")))
+    for i in range(rounds):
+        evidence = checkpoint(_evidence(suspects, _gains(opened, model)))
+        pooled = _pooled(evidence, chains)
+        posts = checkpoint(_posteriors(pooled, priors))
+        if i < rounds - 1:
+            priors.learn(posts, sizes)
+            more, added = _counts(_moved(evidence, pooled, posts, opened))
+            model = _share(spark, np.maximum(counts + more, 0.0), max(total + added, 1.0))
+    return _Fitted(posts, model, opened)
+
+
+def repair(text: str, chains: list[tuple[str, float]], model: CharModel) -> tuple[str, str]:
+    """(chains used, text): units undone by the likeliest chain, and what it leaves damaged by the next ones that explain more than they cost."""
+    spans = list(units(text))
+    left, fixed, used = dict.fromkeys(text[i:j] for i, j in spans), {}, []
+    for chain, cost in chains:
+        if chain == LOST or not left:
+            continue
+        gains = {}
+        for word in left:
+            plain = undo(word, chain)
+            if plain is not None:
+                gain = model.gain(word, model.logp(word), plain.replace("\ufeff", ""), chain.count("|") + 1)
+                if gain > 0:
+                    gains[word] = gain, plain
+        once: dict[int, float] = {}  # the same damaged characters are the same evidence
+        for word, (gain, _) in gains.items():
+            d = _damaged(word)
+            once[d] = max(once.get(d, 0.0), gain - MARGIN)
+        if not used or sum(g for g in once.values() if g > 0) + cost > 0:
+            used.append(chain)
+            for word, (_, plain) in gains.items():
+                fixed[word] = plain
+                left.pop(word)
+    out, at = [], 0
+    for i, j in spans:
+        if (plain := fixed.get(text[i:j])) is not None:
+            out += [text[at:i], plain]
+            at = j
+    return AND.join(used), "".join(out) + text[at:]
+
+
+def _rows(documents: DataFrame, key: str, text: str, source: str, field: str) -> DataFrame:
+    docs = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{field}`").cast("string").alias("field"))
+    docs = docs.where(F.col("text").rlike(r"[^\x00-\x7f]"))  # no chain changes plain ASCII
+    # Rows that are alike in all of these are one record.
+    parts = [x for c in ("key", "source", "field") for x in (F.col(c).isNull().cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    return spread(docs.withColumn("rid", F.md5(F.concat_ws("\x01", *parts, "text"))))
+
+
+def found(documents: DataFrame, rounds: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", field: str = "kind", least: float = 1.5) -> DataFrame:
+    """(key) of all records with log odds of damage over ``least`` (1.5: over four to one)."""
+    docs = _rows(documents, key, text, source, field)
+    posts = _fit(docs, rounds).posts
+    sure = posts.where(F.col("odds") > least).select("rid").distinct()
+    return docs.join(sure, "rid", "left_semi").select(F.col("key").alias(key))
 
 
 def restore(documents: DataFrame, rounds: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", field: str = "kind", least: float = 1.5) -> DataFrame:
-    """(key, chain, gain, lost, odds, text, repaired) of all records with log odds over ``least`` (1.5: over four to one); an empty chain with lost > 0 can't be undone."""
-    docs = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"), F.col(f"`{field}`").alias("field"))
-    high = spread(docs.where(F.col("text").rlike(r"[^\x00-\x7f]")))  # no chain changes plain ASCII
-    spark, rate, shares = documents.sparkSession, 0.03, {}
-    whole = _model(high.select("text"))
-    corpus = spark.sparkContext.broadcast((whole.counts, whole.total))  # a table of fixed size
-    shared = _share(spark, _model(high.select("text"), corpus), shares)
-    for _ in range(rounds - 1):
-        judged = _posterior(_evidence(high, shared), rate)
-        rate, shares = _priors(judged)
-        # Records with lost characters say nothing about intact text.
-        model = _model(_repaired(judged, shared, least).where("lost = 0").select("repaired"), corpus)
-        shared = _share(spark, model, shares)
-    judged = _posterior(_evidence(high, shared), rate).where(F.col("odds") > least)
-    return _repaired(judged, shared, least).select(F.col("doc_id").alias(key), "chain", "gain", "lost", "odds", "text", "repaired")
+    """(key, chain, lost, odds, text, repaired) of all records with log odds over ``least`` (1.5: over four to one); an empty chain with lost > 0 can't be undone."""
+    docs = _rows(documents, key, text, source, field)
+    fit = _fit(docs, rounds)
+    sure = fit.posts.where(F.col("odds") > least).groupBy("rid").agg(F.max("odds").alias("odds"), F.sort_array(F.collect_list(F.struct((F.col("gain") + F.col("prior")).alias("score"), "chain", "prior")), asc=False).alias("chains"))
+    rows = docs.join(sure, "rid").select("key", "odds", "text", "chains")
+    shared = fit.model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _cached(shared)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            got = [repair(t, [(c["chain"], c["prior"]) for c in cs], model) for t, cs in zip(texts, b.column("chains").to_pylist())]
+            lost = [sum(t[i:j].count("\ufffd") for i, j in units(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([g[0] for g in got], pa.string()), pa.array(lost, pa.int32()), b.column("odds"), b.column("text"), pa.array([g[1] for g in got], pa.string())], names=[key, "chain", "lost", "odds", "text", "repaired"])
+
+    schema = T.StructType([T.StructField(key, docs.schema["key"].dataType), *T._parse_datatype_string("chain string, lost int, odds double, text string, repaired string").fields])
+    return rows.mapInArrow(run, schema)

@@ -38,7 +38,7 @@ def _p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p9(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.restore(table(spark, d, "documents")).select("doc_id").distinct()
+    return mojibake.found(table(spark, d, "documents")).distinct()
 
 
 def _p9_repaired(spark: SparkSession, d: str) -> DataFrame:

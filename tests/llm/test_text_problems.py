@@ -143,7 +143,8 @@ def test_mojibake(spark):
     out = {r["doc_id"]: r for r in mojibake.restore(df).collect()}
     assert set(out) == set(bad)
     assert out[1000]["repaired"] == PLAIN[0] and out[1002]["repaired"] == PLAIN[1] and out[1003]["repaired"] == PLAIN[2] and out[1001]["repaired"].endswith(PLAIN[0])
-    assert out[1004]["lost"] == 3
+    assert out[1004]["lost"] == 3 and out[1004]["chain"] == ""
+    assert sorted(r["doc_id"] for r in mojibake.found(df).collect()) == sorted([*bad, 1000])
     assert mojibake.restore(df.limit(0)).isEmpty()
 
 
@@ -217,8 +218,11 @@ def test_mojibake_in_long_unbroken_runs():
         for slot in mojibake._slots(g):
             model.counts[slot] += 1
         model.total += 1
-    judge, hurt = mojibake.Judge(model), damage(text, "utf-8", "cp1252")
-    assert judge.text(hurt)[0] == "cp1252>utf-8" and judge.repair("x " + hurt, "cp1252>utf-8") == "x " + text
+    hurt = damage(text, "utf-8", "cp1252")
+    # ASCII punctuation ends a unit, and nothing else does; the whole run comes back.
+    assert [hurt[i:j] for i, j in mojibake.units(hurt)] == [hurt]
+    chains = {plain: chains for plain, _, chains in model.candidates(hurt)}
+    assert "cp1252>utf-8" in chains[text] and mojibake.repair("x " + hurt, [("cp1252>utf-8", -5.0)], model) == ("cp1252>utf-8", "x " + text)
     assert mojibake.undo(text[:4100] + damage(text[4100:], "utf-8", "cp1252"), "cp1252>utf-8") == text
 
 
