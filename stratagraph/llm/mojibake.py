@@ -39,11 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import checkpoint, lookup, spread
+from ..runtime import checkpoint, spread
 
 #: Encodings that texts are written in, and decoders they are wrongly read with (fixed values).
 TRUE = "utf-8 cp1252 cp1250 cp1251 cp1253 cp1254 cp1257 iso8859-2 iso8859-5 iso8859-7 koi8-r cp866 cp437 cp850 mac-roman gb18030 big5 cp932 euc-jp euc-kr".split()
@@ -60,7 +60,9 @@ SUSPECT = 1.5  # mean log ratio of the counts of differing n-grams
 MARGIN = 2.5  # what a unit must gain before it counts, and twice that by every further step
 SLACK = 5.0  # candidates that are worse than the unit by more than this under the first model are dropped,
 WITHIN = 12.0  # and those worse than the unit's best candidate by more than this
+SMALL = 200_000  # rows of a table that may be sent to every task
 _HIGH = re.compile(r"[^\x00-\x7f]")
+_LETTER = re.compile(r"[\x80-\u2e7f]")
 _CONTROL = re.compile(r"[\x80-\x9f]")
 #: Blanks and these signs are no trail bytes of any encoding in the lists.
 _UNIT = re.compile(r"[^\x00-\x20!-/:-?\x7f]+")
@@ -104,15 +106,6 @@ def from_bytes(data: bytes, name: str) -> str | None:
     return "".join([chars[b] for b in data])
 
 
-@functools.cache
-def _given(name: str) -> re.Pattern:
-    """Stretches of characters that the decoder can give."""
-    if name == "gb18030":
-        return re.compile("[^\ud800-\udfff]+")
-    chars = _ONE[name][0] if name not in MULTI else [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000))) if to_bytes(c, name) is not None]
-    return re.compile("[" + "".join(map(re.escape, sorted(set(chars)))) + "]+")
-
-
 #: Sequences of UTF-8 beyond ASCII.
 _SEQUENCES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 
@@ -143,9 +136,28 @@ def _runs(data: bytes, name: str) -> Iterator[tuple[int, int]]:
         at = end
 
 
+@functools.lru_cache(500_000)
+def _char(c: str, name: str) -> bytes | None:
+    return to_bytes(c, name)
+
+
 def _parts(word: str, wrong: str) -> tuple[tuple[int, str, bytes], ...]:
     """(start, text, bytes) of the word's stretches beyond ASCII that the decoder can give."""
-    return tuple((m.start(), m.group(), to_bytes(m.group(), wrong)) for m in _given(wrong).finditer(word) if not m.group().isascii())
+    whole = to_bytes(word, wrong)
+    if whole is not None:
+        return ((0, word, whole),)
+    out, start, data = [], 0, []
+    for i, c in enumerate(word):
+        b = _char(c, wrong)
+        if b is not None:
+            data.append(b)
+            continue
+        if data and not (text := word[start:i]).isascii():
+            out.append((start, text, b"".join(data)))
+        start, data = i + 1, []
+    if data and not (text := word[start:]).isascii():
+        out.append((start, text, b"".join(data)))
+    return tuple(out)
 
 
 def _spliced(word: str, wrong: str, true: str, parts: tuple[tuple[int, str, bytes], ...]) -> str | None:
@@ -205,6 +217,11 @@ def _slots(gram: str) -> tuple[int, int]:
     return zlib.crc32(raw) & _MASK, (zlib.crc32(raw, 0x5BD1E995) & _MASK) + _MASK + 1
 
 
+def _shrinks(text: str, fixed: str) -> bool:
+    """Whether a step took away a quarter of the characters beyond ASCII, ideographs left out or not; two bytes make one of them at least."""
+    return any(len(p.findall(fixed)) <= 0.75 * len(p.findall(text)) for p in (_HIGH, _LETTER))
+
+
 _DIGITS = {ord(c): "0" for c in "123456789"}
 
 
@@ -303,8 +320,8 @@ class CharModel:
     def candidates(self, word: str) -> list[tuple[str, int, list[str]]]:
         """(text, steps, chains) of all plausible texts that chains lead back to.
 
-        A further step is tried where the last one was from UTF-8, as only what became shorter can have been damaged before, so
-        every way ends.
+        A further step is tried where the last one was from UTF-8 and undid about half of the damage or more: what was damaged
+        twice becomes much shorter, so every way ends soon.
         """
         out: list[tuple[str, int, list[str]]] = []
         seen, level, depth = {word}, {word: [""]}, 0
@@ -318,7 +335,7 @@ class CharModel:
                         continue
                     found[fixed] += [f"{c}|{s}" if c else s for c in chains for s in steps]
                     back = [f"{c}|{s}" if c else s for c in chains for s in steps if s.endswith(">utf-8")]
-                    if back and not fixed.isascii() and self.familiar(fixed):
+                    if back and not fixed.isascii() and _shrinks(text, fixed) and self.familiar(fixed):
                         after.setdefault(fixed, []).extend(back)
             for fixed, chains in found.items():
                 plain = fixed.replace("\ufeff", "")  # a byte order mark belongs to no word
@@ -339,7 +356,9 @@ class CharModel:
         return False
 
     def gain(self, word: str, here: float, plain: str, depth: int, least: float = 0.0) -> float:
-        return self.logp(plain, here + least) - here - 2 * MARGIN * (depth - 1)
+        """What the unit gains by being ``plain``; below ``least`` it may be any number below."""
+        cost = 2 * MARGIN * (depth - 1)
+        return self.logp(plain, here + least + cost) - here - cost
 
 
 def counts_of(counts: np.ndarray, gram: str) -> float:
@@ -482,8 +501,10 @@ def _open(words: DataFrame, model) -> DataFrame:
             keep, cands = [], []
             for i, (word, given) in enumerate(zip(b.column("word").to_pylist(), b.column("cands").to_pylist())):
                 here = m.logp(word)
-                gains = [m.gain(word, here, c["plain"], c["depth"], -SLACK) for c in given]
-                least = max(-SLACK, max(gains, default=0.0) - WITHIN)
+                gains, least = [], -SLACK
+                for c in given:
+                    gains.append(m.gain(word, here, c["plain"], c["depth"], least))
+                    least = max(least, gains[-1] - WITHIN)
                 left = [c for c, g in zip(given, gains) if g > least]
                 if left or "\ufffd" in word:
                     keep.append(i)
@@ -524,69 +545,73 @@ def _chains(opened: DataFrame) -> DataFrame:
 
     Of chains that stand in the same sets throughout, which nothing can tell apart, only the likeliest is kept.
     """
-    sets = checkpoint(opened.select(F.inline("cands")).groupBy("sig").agg(F.first("chains").alias("chains")))
+    sets = opened.select(F.inline("cands")).groupBy("sig").agg(F.first("chains").alias("chains"))
     where = sets.select("sig", F.explode("chains").alias("chain")).groupBy("chain").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
-    share = F.udf(_first_share, "double")
-    kept = where.withColumn("share", share("chain")).groupBy("sigs").agg(F.max_by("chain", F.struct("share", "chain")).alias("chain"))
+    kept = where.groupBy("sigs").agg(F.max_by("chain", F.struct(_first_share(F.col("chain")), "chain")).alias("chain"))
     out = kept.select(F.explode("sigs").alias("sig"), "chain").groupBy("sig").agg(F.collect_list("chain").alias("chains"))
-    lost = opened.sparkSession.createDataFrame([(_number(LOST), [LOST])], "sig bigint, chains array<string>")
+    lost = opened.sparkSession.range(1).select(F.lit(_number(LOST)).alias("sig"), F.array(F.lit(LOST)).alias("chains"))
     return checkpoint(out.unionByName(lost))
 
 
 # -- the posteriors ------------------------------------------------------------------------------------------
 
 
-def _first_share(chain):
+def _first_share(chain: Column) -> Column:
     """Log share of a chain before any is known: earlier encodings of the lists are likelier by a hair, further steps rarer."""
-    if chain == LOST:
-        return -4.0
-    steps = [s.split(">") for s in chain.split("|")]
-    return -2.0 - 2.0 * len(steps) - 0.01 * sum(TRUE.index(true) + WRONG.index(wrong) for wrong, true in steps)
+    place = lambda names: F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    at = lambda s: place(WRONG)[F.split_part(s, F.lit(">"), F.lit(1))] + place(TRUE)[F.split_part(s, F.lit(">"), F.lit(2))]
+    steps = F.split(chain, r"\|")
+    return F.when(chain == LOST, -4.0).otherwise(-2.0 - 2.0 * F.size(steps) - 0.01 * F.aggregate(steps, F.lit(0), lambda a, s: a + at(s)))
 
 
 class Priors:
     """How often records of a source and field are damaged, and each chain's share of that, shrunk to those of all records."""
 
-    def __init__(self, rate: float = 0.03):
-        self.rate, self.shares, self.groups, self.by_chain, self.other = rate, None, None, None, 0.0
+    def __init__(self, sizes: DataFrame, rate: float = 0.03):
+        self.sizes, self.rate, self.shares, self.groups, self.other = sizes, rate, None, None, 0.0
+        count = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+        self.records, self.small = count[0] or 0, count[1] <= SMALL
 
-    def learn(self, posts: DataFrame, sizes: DataFrame) -> None:
-        """From (source, field, chain, p) and the (source, field, n) of all records."""
+    def learn(self, posts: DataFrame) -> None:
+        """From (source, field, chain, p) of all records that some chain gains for."""
         rows = posts.groupBy("chain").agg(F.sum("p").alias("w")).collect()  # one row a chain
-        n, total = sizes.agg(F.sum("n")).first()[0] or 0, sum(r["w"] for r in rows)
-        self.rate = min(max((total + 1) / (n + 50), 1e-4), 0.5)
+        total = sum(r["w"] for r in rows)
+        self.rate = min(max((total + 1) / (self.records + 50), 1e-4), 0.5)
         self.shares = {r["chain"]: math.log((r["w"] + 0.5) / (total + 50)) for r in rows}
         self.other = math.log(0.5 / (total + 50))
-        self.by_chain = posts.groupBy("source", "field", "chain").agg(F.sum("p").alias("hits"))
-        self.groups = sizes.join(posts.groupBy("source", "field").agg(F.sum("p").alias("all_hits")), [sizes["source"].eqNullSafe(posts["source"]), sizes["field"].eqNullSafe(posts["field"])], "left").select(sizes["source"], sizes["field"], "n", "all_hits")
+        hits = posts.groupBy("source", "field", "chain").agg(F.sum("p").alias("hits")).where("hits > 0.001")
+        hits = hits.groupBy(F.col("source").alias("s"), F.col("field").alias("f")).agg(F.sum("hits").alias("all_hits"), F.map_from_entries(F.collect_list(F.struct("chain", "hits"))).alias("by_chain"))
+        self.groups = self.sizes.join(hits, F.col("source").eqNullSafe(F.col("s")) & F.col("field").eqNullSafe(F.col("f")), "left").select(F.col("source").alias("s"), F.col("field").alias("f"), "n", "all_hits", "by_chain")
 
     def add(self, scores: DataFrame) -> DataFrame:
         """scores (rid, source, field, chain, ...) plus (prior): the log prior odds of the chain against none."""
-        shares = F.udf(_first_share, "double")("chain") if self.shares is None else None
-        chains = scores.select("chain").distinct()
         if self.shares is None:
-            table = chains.withColumn("share", shares)
-            return scores.join(F.broadcast(table), "chain").withColumn("prior", F.col("share") + math.log(self.rate / (1 - self.rate))).drop("share")
-        spark = scores.sparkSession
-        table = spark.createDataFrame(list(self.shares.items()) or [("", 0.0)], "chain string, share double")
+            return scores.withColumn("prior", _first_share(F.col("chain")) + math.log(self.rate / (1 - self.rate)))
+        table = scores.sparkSession.createDataFrame(list(self.shares.items()) or [("", 0.0)], "chain string, share double")
         j = scores.join(F.broadcast(table), "chain", "left").withColumn("share", F.exp(F.coalesce("share", F.lit(self.other))))
-        j = lookup(lookup(j, self.groups, ["source", "field"], "rid"), self.by_chain, ["source", "field", "chain"], "rid")
-        hits, n, own = F.coalesce("all_hits", F.lit(0.0)), F.coalesce("n", F.lit(0)), F.coalesce("hits", F.lit(0.0))
+        # Groups are counted before they are sent to every task; of more, hot ones are split by the engine's handling of skew.
+        groups = F.broadcast(self.groups) if self.small else self.groups
+        j = j.join(groups, F.col("source").eqNullSafe(F.col("s")) & F.col("field").eqNullSafe(F.col("f")), "left")
+        hits, n, own = F.coalesce("all_hits", F.lit(0.0)), F.coalesce("n", F.lit(0)), F.coalesce(F.col("by_chain")[F.col("chain")], F.lit(0.0))
         rate = (hits + 20.0 * self.rate) / (n + 20.0)
         share = (own + 20.0 * F.col("share")) / (hits + 20.0)
-        return j.withColumn("prior", F.log(rate * share / (1 - F.least(rate, F.lit(0.999))))).drop("share", "all_hits", "n", "hits")
+        return j.withColumn("prior", F.log(rate * share / (1 - F.least(rate, F.lit(0.999))))).drop("share", "all_hits", "n", "by_chain", "s", "f")
 
 
-def _evidence(records: DataFrame, gains: DataFrame) -> DataFrame:
-    """(rid, source, field, h1, h2, damaged, k, sig, gain) of the records' units."""
-    j = lookup(records, gains, _KEY, "rid").where(F.col("gains").isNotNull())
-    return j.select("rid", "source", "field", *_KEY, "damaged", F.inline("gains"))
+def _evidence(suspects: DataFrame, gains: DataFrame, small: bool, salts: int = 16) -> DataFrame:
+    """(rid, source, field, h1, h2, damaged, k, sig, gain) of the records' units, kept together by record."""
+    if small:
+        j = suspects.join(F.broadcast(gains), _KEY)
+    else:  # a unit may stand in a third of all records
+        split = gains.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = suspects.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int")).join(split, [*_KEY, "salt"])
+    return j.select("rid", "source", "field", *_KEY, "damaged", F.inline("gains")).repartition("rid")
 
 
-def _pooled(evidence: DataFrame, chains: DataFrame) -> DataFrame:
+def _pooled(evidence: DataFrame, chains: DataFrame, small: bool) -> DataFrame:
     """(rid, source, field, sig, gain, chains): of each damaged sequence the best gain by each set of chains, added up."""
     best = evidence.groupBy("rid", "source", "field", "sig", "damaged").agg(F.max("gain").alias("gain"))
-    return lookup(best.groupBy("rid", "source", "field", "sig").agg(F.sum("gain").alias("gain")), chains, ["sig"], "rid")
+    return best.groupBy("rid", "source", "field", "sig").agg(F.sum("gain").alias("gain")).join(F.broadcast(chains) if small else chains, "sig")
 
 
 def _posteriors(pooled: DataFrame, priors: Priors) -> DataFrame:
@@ -604,9 +629,10 @@ def _moved(evidence: DataFrame, pooled: DataFrame, posts: DataFrame, opened: Dat
     sure = posts.where("p > 0.01").select("rid", "chain", "p")
     by_set = pooled.select("rid", "sig", F.explode("chains").alias("chain")).join(sure, ["rid", "chain"]).groupBy("rid", "sig").agg(F.sum("p").alias("p"))
     w = evidence.join(by_set, ["rid", "sig"]).groupBy(*_KEY, "k").agg(F.sum("p").alias("w"))
-    j = checkpoint(opened.select(*_key(), "word", "suspect", "cands").join(w, _KEY))
-    given = j.where("k >= 0").select(F.element_at(F.col("cands.plain"), F.col("k") + 1).alias("word"), F.col("w").alias("weight"))
-    return given.unionByName(j.where("not suspect").select("word", (-F.col("w")).alias("weight")))
+    j = opened.select(*_key(), "word", "suspect", "cands").join(w, _KEY)
+    given = F.when(F.col("k") >= 0, F.struct(F.element_at(F.col("cands.plain"), F.col("k") + 1).alias("word"), F.col("w").alias("weight")))
+    taken = F.when(~F.col("suspect"), F.struct("word", (-F.col("w")).alias("weight")))
+    return j.select(F.explode(F.array_compact(F.array(given, taken))).alias("x")).select("x.word", "x.weight")
 
 
 class _Fitted:
@@ -618,26 +644,28 @@ class _Fitted:
 
 def _fit(docs: DataFrame, rounds: int) -> _Fitted:
     spark = docs.sparkSession
-    records = _records(docs)
     # One row a group; records without units are intact members of theirs.
-    sizes = checkpoint(docs.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n")))
-    words = checkpoint(spread(records.groupBy("word").agg(F.count(F.lit(1)).alias("n"))))
-    words = words.where("word is not null")
+    priors = Priors(checkpoint(docs.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n"))))
+    records = _records(docs)
+    # Few bytes of dear work: the engine's own merging of small partitions would leave it to one task.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = checkpoint(records.groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(tasks, "word"))
     whole = _share(spark, *_counts(words))
-    cands = checkpoint(_candidates(spread(words), whole))
+    cands = checkpoint(_candidates(words, whole))
     counts, total = _counts(cands.where("not suspect").select("word", "n"))
     model = _share(spark, counts, total)
-    opened = checkpoint(spread(_open(cands, model)))
-    suspects = lookup(records.select("rid", "source", "field", *_key()), opened.select(*_key(), F.lit(True).alias("open")), _KEY, "rid").where("open").drop("open")
-    suspects = checkpoint(suspects)
-    priors, chains = Priors(), _chains(opened)
+    opened = checkpoint(_open(cands, model))
+    chains = _chains(opened)
+    small, few = opened.count() <= SMALL, chains.count() <= SMALL
     opened = opened.withColumn("cands", F.transform("cands", lambda c: c.dropFields("chains")))
+    keys = opened.select(*_key())
+    suspects = checkpoint(records.select("rid", "source", "field", *_key()).join(F.broadcast(keys) if small else keys, _KEY, "left_semi"))
     for i in range(rounds):
-        evidence = checkpoint(_evidence(suspects, _gains(opened, model)))
-        pooled = _pooled(evidence, chains)
+        evidence = checkpoint(_evidence(suspects, _gains(opened, model), small))
+        pooled = _pooled(evidence, chains, few)
         posts = checkpoint(_posteriors(pooled, priors))
         if i < rounds - 1:
-            priors.learn(posts, sizes)
+            priors.learn(posts)
             more, added = _counts(_moved(evidence, pooled, posts, opened))
             model = _share(spark, np.maximum(counts + more, 0.0), max(total + added, 1.0))
     return _Fitted(posts, model, opened)
