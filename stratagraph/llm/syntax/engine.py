@@ -11,11 +11,13 @@ context of every group below it, and the set of token pairs that may stand side
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 
 OPEN = {"P": "(", "S": "[", "B": "{", "I": "INDENT"}
 CLOSE = {"P": ")", "S": "]", "B": "}", "I": "DEDENT"}
 START, END = "<start>", "<end>"
+WILD = "any"  # the context of groups that hold any tokens, such as the arguments of a macro
 
 
 def _parse(text: str) -> dict[str, tuple]:
@@ -160,21 +162,30 @@ class Grammar:
         return many
 
     def match(self, ctx: str, toks: list[str]) -> tuple | None:
-        """Groups below as ((index, context), ...), or None where the unit is no production of the context."""
-        end, kids = self._fn[ctx]([*toks, END], 0, {})
+        """Groups below as ((index, context), ...), or None where the unit is no production of the context.
+
+        Rules call each other in plain Python, whose frames lie on the heap; as every rule that calls itself consumes a token
+        first, the depth is bounded by the length of the unit.
+        """
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, 10_000 + 100 * len(toks)))
+        try:
+            end, kids = self._fn[ctx]([*toks, END], 0, {})
+        finally:
+            sys.setrecursionlimit(limit)
         return kids if end == len(toks) else None
 
     # -- permissible pairs ---------------------------------------------------------------------------------
     def pairs(self) -> set[tuple[str, str]]:
-        """All (token, next token) that some file of the language can hold; brackets stand for themselves."""
+        """All (token, next token) that some file of the language can hold outside of wild groups; brackets stand for themselves."""
         first, last, empty = defaultdict(set), defaultdict(set), dict.fromkeys(self.rules, False)
 
         def sets(node) -> tuple[set, set, bool]:
             kind = node[0]
             if kind == "tok":
                 return {node[1]}, {node[1]}, False
-            if kind == "any":
-                return set(self._tokens), set(self._tokens), False
+            if kind == "any":  # pairs with what is in a wild group depend on the group, see ``WILD``
+                return set(), set(), False
             if kind == "grp":
                 return {OPEN[node[1]]}, {CLOSE[node[1]]}, False
             if kind == "ref":
@@ -197,16 +208,11 @@ class Grammar:
                 e, n = (e | b if c else set(b)), n and c
             return f, e, n
 
-        self._tokens = set(self.tokens)
-
         def walk(node, see):
             see(node)
             for x in node[1] if node[0] in ("alt", "seq") else [node[1]] if node[0] in ("opt", "star", "plus", "look", "not") else []:
                 walk(x, see)
 
-        for body in self.rules.values():
-            walk(body, lambda n: self._tokens.add(n[1]) if n[0] == "tok" else None)
-        self._tokens |= {*OPEN.values()}
         changed = True
         while changed:
             changed = False
@@ -218,11 +224,9 @@ class Grammar:
                     empty[name] = n
                     changed = True
         out: set[tuple[str, str]] = set()
-        contexts = {self.root, self.first}
 
         def see(node):
             if node[0] == "grp":
-                contexts.add(node[2])
                 o, c = OPEN[node[1]], CLOSE[node[1]]
                 f, e, n = first[node[2]], last[node[2]], empty[node[2]]
                 out.update((o, x) for x in f)

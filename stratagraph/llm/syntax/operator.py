@@ -1,20 +1,20 @@
 """Files that do not parse in the language of their name (problem 1).
 
-1. Every source is lexed into rows (row, pos, sym, ...), in the task that reads it.
+1. Every source is lexed into rows (row, tok), in the task that reads it.
 2. Adjacent pairs: each token is paired with the one before it, and the pairs are anti-joined with the pairs that the
-   language's grammar permits. What is left flags the file.
+   language's grammar permits. What is left makes its unit stray, which only a group of any tokens (a macro's arguments) may be.
 3. Nesting: the running depth over a file's tokens gives each bracket its level; within one level, openers and
    closers must alternate and fit, which the preceding bracket of the level tells.
 4. Productions: within a level, the tokens between two statement ends are reduced to one unit, with every bracket group
    below as a single symbol; the units of a file are matched top down against the productions of their contexts.
 
-All windows share one exchange by file; a file's tokens were one record before, so no group is larger than a file.
-For Python, the files that the rules flag are checked once more by the language's own parser, which can only clear them.
+All windows share one exchange by file; a file's tokens were one record before, so no group is larger than a file. A token is one
+number (position, symbol, flags), so that exchange and sorts move 16 bytes a token.
 
 Defined cases: null sources are no case; the language follows from the extension of rel_path, or of path where rel_path
 is null, in any case of letters; other extensions are no case; empty sources are valid but for Go, which needs a
-package clause; repeated rows and re-scans give one result row; very long files are lexed whole; null ids give a null
-id; empty tables are allowed; extra columns are never read.
+package clause; repeated rows and re-scans give one result row; very long files and deep nesting are read whole; null ids give a
+null id; empty tables are allowed; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -28,22 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...runtime import spread
-from .engine import CLOSE, END, OPEN, START
+from .engine import CLOSE, END, OPEN, START, WILD
 from .grammars import LANGUAGES, grammar
+from .lexers import ERR, lex, symbols
 from .lexers import LANGUAGES as EXTENSIONS
-from .lexers import lex
 
-_TOKENS = T.StructType(
-    [
-        T.StructField("row", T.LongType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("lang", T.ByteType()),
-        T.StructField("sym", T.StringType()),
-        T.StructField("before", T.StringType()),
-        T.StructField("d", T.ByteType()),
-        T.StructField("sep", T.BooleanType()),
-    ]
-)
+#: Numbers of the symbols: openers, then closers in the same order, then all others. Four bits are left for flags, sixteen for symbols.
+SYMBOLS = [*OPEN.values(), *CLOSE.values(), END, START, ERR]
+SYMBOLS += sorted(set().union(*map(symbols, LANGUAGES), *({t for p in grammar(x).pairs() for t in p} for x in LANGUAGES)) - set(SYMBOLS))
+CODE = {s: i for i, s in enumerate(SYMBOLS)}
+_N = len(OPEN)
+_SEP, _STRAY = 1, 2
 
 
 def languages_of(files: DataFrame) -> DataFrame:
@@ -54,143 +49,136 @@ def languages_of(files: DataFrame) -> DataFrame:
     return files.select(F.monotonically_increasing_id().alias("row"), "file_id", "project", lang.cast("byte").alias("lang"), "source").where(F.col("lang").isNotNull() & F.col("source").isNotNull())
 
 
-def lex_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token rows of (row, lang, source); the end of the file is a row of its own. Openers come twice: inside and outside of their group."""
-    schema = pa.schema([("row", pa.int64()), ("pos", pa.int32()), ("lang", pa.int8()), ("sym", pa.string()), ("before", pa.string()), ("d", pa.int8()), ("sep", pa.bool_())])
-    for batch in batches:
-        cols: list[list] = [[], [], [], [], [], [], []]
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-            for c in cols:
-                c.clear()
-            return out
-
-        for row, lang, source in zip(*[c.to_pylist() for c in batch.columns]):
-            toks = lex(LANGUAGES[lang], source)
-            n = len(toks) + 1
-            cols[0] += [row] * n
-            cols[1] += range(n)
-            cols[2] += [lang] * n
-            cols[3] += [t[0] for t in toks] + [END]
-            cols[4] += [START] + [t[0] for t in toks]
-            cols[5] += [t[1] for t in toks] + [0]
-            cols[6] += [t[2] for t in toks] + [False]
-            if len(cols[0]) > 50_000:
+def tokens(files: DataFrame) -> DataFrame:
+    """Token rows (row, tok, pair, lang, file_id, project) of files (row, file_id, project, lang, source).
+
+    tok is position, symbol and flags; pair the language, the symbol before and the symbol. The end of the file is a row of its
+    own, which alone carries the file's own columns: nothing has to be joined by the row's number.
+    """
+    files = spread(files.select("row", "lang", "source", "file_id", "project"))
+    own = [files.schema["file_id"], files.schema["project"]]
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("tok", T.LongType()), T.StructField("pair", T.LongType()), T.StructField("lang", T.ByteType()), *own])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int8(), batch.column("file_id").type, batch.column("project").type]
+            cols: list[list] = [[] for _ in kinds]
+
+            def flush():
+                out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.name for f in schema])  # noqa: B023
+                for c in cols:  # noqa: B023
+                    c.clear()
+                return out
+
+            for row, lang, source, *file in zip(*[c.to_pylist() for c in batch.columns]):
+                toks = lex(LANGUAGES[lang], source)
+                codes = [*[CODE[t[0]] for t in toks], CODE[END]]
+                n = len(codes)
+                cols[0] += [row] * n
+                cols[1] += [p << 20 | c << 4 | t[2] for p, (c, t) in enumerate(zip(codes, toks))]
+                cols[1].append((n - 1) << 20 | CODE[END] << 4)
+                cols[2] += [lang << 32 | a << 16 | b for a, b in zip([CODE[START], *codes], codes)]
+                cols[3] += [None] * (n - 1) + [lang]
+                for c, v in zip(cols[4:], file):
+                    c += [None] * (n - 1) + [v]
+                if len(cols[0]) > 50_000:
+                    yield flush()
+            if cols[0]:
                 yield flush()
-        if cols[0]:
-            yield flush()
-
 
-def tokens(files: DataFrame) -> DataFrame:
-    # The row numbers are given before rows may move.
-    return spread(files.select("row", "lang", "source")).mapInArrow(lex_rows, _TOKENS)
+    return files.mapInArrow(run, schema)
 
 
 def permissible_pairs(spark: SparkSession) -> DataFrame:
-    """(lang, before, sym): a few thousand rows, fixed by the grammars."""
-    rows = [(i, a, b) for i, lang in enumerate(LANGUAGES) for a, b in sorted(grammar(lang).pairs())]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["lang", "before", "sym"]), "lang byte, before string, sym string")
-
-
-def match_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that are misfits already or whose units are no productions, of (row, lang, misfit, units: [(group, unit, positions, symbols)])."""
-    known: dict[tuple, tuple | None] = {}
-    for batch in batches:
-        bad = []
-        for row, lang, misfit, units in zip(batch.column("row").to_pylist(), batch.column("lang").to_pylist(), batch.column("misfit").to_pylist(), batch.column("units")):
-            if misfit:
-                bad.append(row)
-                continue
-            g = grammar(LANGUAGES[lang])
-            groups: dict[int, list[tuple[list[int], list[str]]]] = {}
-            for u in sorted(units.as_py(), key=lambda u: (u["grp"], u["unit"])):
-                groups.setdefault(u["grp"], []).append((u["poss"], u["syms"].split(" ") if u["syms"] else []))
-            todo, ok = [(-1, g.root)], True
-            while todo and ok:
-                at, ctx = todo.pop()
-                for k, (poss, syms) in enumerate(groups.get(at) or [([], [])]):
-                    c = g.first if at < 0 and k == 0 else ctx
-                    key = (lang, c, " ".join(syms)) if len(syms) <= 64 else None
-                    got = known.get(key, 0) if key else 0
-                    if got == 0:
-                        try:
-                            got = g.match(c, syms)
-                        except RecursionError:  # nested deeper than any parser of the language goes
-                            got = None
-                        if key:
-                            if len(known) > 200_000:
-                                known.clear()
-                            known[key] = got
-                    if got is None:
-                        ok = False
-                        break
-                    todo += [(poss[i], x) for i, x in got]
-            if not ok:
-                bad.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["row"])
-
-
-def flagged_rows(toks: DataFrame) -> DataFrame:
-    """(row) of files that break one of the three rules, from their token rows."""
+    """(pair): a few thousand rows, fixed by the grammars."""
+    rows = [i << 32 | CODE[a] << 16 | CODE[b] for i, lang in enumerate(LANGUAGES) for a, b in sorted(grammar(lang).pairs())]
+    return spark.createDataFrame(pd.DataFrame({"pair": rows}), "pair bigint")
+
+
+def _fits(lang: int, units: list[dict], known: dict) -> bool:
+    """Whether the units of a file are productions, from the top down."""
+    g = grammar(LANGUAGES[lang])
+    groups: dict[int, list[dict]] = {}
+    for u in sorted(units, key=lambda u: (u["grp"], u["unit"])):
+        groups.setdefault(u["grp"], []).append(u)
+    todo = [(-1, g.root)]
+    while todo:
+        at, ctx = todo.pop()
+        for k, u in enumerate(groups.get(at) or [{"stray": False, "toks": []}]):
+            c = g.first if at < 0 and k == 0 else ctx
+            if u["stray"] and c != WILD:
+                return False
+            codes = [t >> 4 & 0xFFFF for t in u["toks"]]
+            key = (lang, c, tuple(codes)) if len(codes) <= 64 else None
+            got = known.get(key, 0) if key else 0
+            if got == 0:
+                got = g.match(c, [SYMBOLS[x] for x in codes])
+                if key:
+                    if len(known) > 50_000:
+                        known.clear()
+                    known[key] = got
+            if got is None:
+                return False
+            todo += [(u["toks"][i] >> 20, x) for i, x in got]
+    return True
+
+
+def flagged(toks: DataFrame) -> DataFrame:
+    """(file_id, project, lang) of files that break one of the three rules, from their token rows."""
     # The anti-join with the permissible pairs, as an outer join: what it misses stays with its file, and tokens are read once.
     pairs = F.broadcast(permissible_pairs(toks.sparkSession).withColumn("known", F.lit(True)))
-    toks = toks.join(pairs, ["lang", "before", "sym"], "left").select("row", "lang", "pos", "sym", "d", "sep", F.col("known").isNull().alias("stray"))
-    fits = F.create_map(*[F.lit(x) for k in OPEN for x in (CLOSE[k], OPEN[k])])
-    by_pos = Window.partitionBy("row").orderBy("pos")
-    depth = F.sum("d").over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
-    leveled = toks.withColumn("depth", depth.cast("int"))
+    toks = toks.join(pairs, "pair", "left").withColumn("tok", F.col("tok").bitwiseOR(F.when(F.col("known").isNull(), F.lit(_STRAY)).otherwise(F.lit(0))))
+    symbol = F.shiftright("tok", 4).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    toks = toks.select("row", "tok", "lang", "file_id", "project")
+    d = F.when(symbol < _N, 1).when(symbol < 2 * _N, -1).otherwise(0)
+    by_pos = Window.partitionBy("row").orderBy("tok")
+    depth = F.sum(d).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    leveled = toks.withColumn("depth", depth)
     # An opener stands as a symbol in the group around it and opens the level of the group below.
-    inside = F.struct(F.col("depth").alias("level"), F.lit(True).alias("edge"))
-    around = F.struct((F.col("depth") - 1).alias("level"), F.lit(False).alias("edge"))
-    closing = F.struct((F.col("depth") + 1).alias("level"), F.lit(True).alias("edge"))
-    plain = F.struct(F.col("depth").alias("level"), F.lit(False).alias("edge"))
-    levels = F.explode(F.when(F.col("d") > 0, F.array(around, inside)).when(F.col("d") < 0, F.array(closing)).otherwise(F.array(plain)))
-    rows = leveled.select("row", "lang", "pos", "sym", "d", "sep", "stray", levels.alias("l")).select("row", "lang", "pos", "sym", "d", "sep", "stray", "l.level", "l.edge")
-    at_level = Window.partitionBy("row", "level").orderBy("pos")
-    upto = at_level.rowsBetween(Window.unboundedPreceding, 0)
-    edge_before = F.last(F.when(F.col("edge"), F.struct("sym", "d")), ignorenulls=True).over(at_level.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("last_edge", edge_before).withColumn("grp", F.last(F.when(F.col("edge") & (F.col("d") > 0), F.col("pos")), ignorenulls=True).over(upto))
+    at = lambda level, edge: F.struct(level.alias("level"), F.lit(edge).alias("edge"))
+    levels = F.explode(F.when(d > 0, F.array(at(F.col("depth") - 1, 0), at(F.col("depth"), 1))).when(d < 0, F.array(at(F.col("depth") + 1, -1))).otherwise(F.array(at(F.col("depth"), 0))))
+    rows = leveled.select("row", "tok", "lang", "file_id", "project", levels.alias("l")).select("row", "tok", "lang", "file_id", "project", "l.level", "l.edge", symbol.alias("sym"))
+    at_level = Window.partitionBy("row", "level").orderBy("tok", F.col("edge"))
+    before = at_level.rowsBetween(Window.unboundedPreceding, -1)
+    is_edge = F.col("edge") != 0
+    last_edge = F.last(F.when(is_edge, F.col("edge") * 100 + F.col("sym")), ignorenulls=True).over(before)  # openers over 0, closers below
+    opened = F.last(F.when(F.col("edge") > 0, F.shiftright("tok", 20)), ignorenulls=True).over(at_level.rowsBetween(Window.unboundedPreceding, 0))
     # A unit ends after a separator; the edges end one as well.
-    rows = rows.withColumn("unit", F.coalesce(F.sum(F.when(F.col("edge") | F.col("sep"), 1).otherwise(0)).over(at_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    misfit = F.when(
-        F.col("edge"),
-        F.when(F.col("d") > 0, F.coalesce(F.col("last_edge.d") > 0, F.lit(False))).otherwise(F.coalesce((F.col("last_edge.d") < 0) | (F.col("last_edge.sym") != fits[F.col("sym")]), F.lit(True))),
-    ).otherwise((F.col("sym") == END) & (F.col("level") != 0))
-    unit = rows.withColumn("misfit", misfit | F.col("stray")).groupBy("row", "lang", "level", "unit").agg(
-        F.max("misfit").alias("misfit"),
-        F.max(F.when(~F.col("edge"), F.coalesce("grp", F.lit(-1)))).alias("grp"),
-        F.array_sort(F.collect_list(F.when(~F.col("edge") & (F.col("sym") != END), F.struct("pos", "sym")))).alias("t"),
+    unit = F.coalesce(F.sum(F.when(is_edge | (F.col("tok").bitwiseAND(F.lit(_SEP)) != 0), 1).otherwise(0)).over(before), F.lit(0)).cast("int")
+    rows = rows.withColumns({"last_edge": last_edge, "grp": opened.cast("int"), "unit": unit})
+    misfit = (
+        F.when(F.col("edge") > 0, F.coalesce(F.col("last_edge") >= 100, F.lit(False)))
+        .when(F.col("edge") < 0, F.coalesce(F.col("last_edge") != F.col("sym") - _N + 100, F.lit(True)))
+        .otherwise((F.col("sym") == CODE[END]) & (F.col("level") != 0))
     )
-    unit = unit.withColumn("u", F.when(F.size("t") > 0, F.struct("grp", F.col("unit").cast("int").alias("unit"), F.col("t.pos").alias("poss"), F.array_join(F.col("t.sym"), " ").alias("syms"))))
-    per_file = unit.groupBy("row", "lang").agg(F.max("misfit").alias("misfit"), F.collect_list("u").alias("units"))
-    # Files with a stray pair or a misfit bracket go through without their units; they need no match.
-    return per_file.select("row", "lang", "misfit", F.when(~F.col("misfit"), F.col("units")).alias("units")).mapInArrow(match_units, "row long")
-
-
-@F.pandas_udf(T.BooleanType())
-def python_parses(source: pd.Series) -> pd.Series:
-    import ast
-    import warnings
-
-    def ok(s: str) -> bool:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            try:
-                ast.parse(s)
-            except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
-                return False
-        return True
+    ends = F.col("sym") == CODE[END]
+    units = rows.groupBy("row", "level", "unit").agg(
+        F.max(misfit).alias("misfit"),
+        F.max((F.col("edge") <= 0) & (F.col("tok").bitwiseAND(F.lit(_STRAY)) != 0)).alias("stray"),  # an opener's pair belongs around it
+        F.max(F.when(F.col("edge") <= 0, F.coalesce("grp", F.lit(-1)))).alias("grp"),
+        F.sort_array(F.collect_list(F.when(~is_edge & ~ends, F.col("tok")))).alias("toks"),
+        *[F.max(c).alias(c) for c in ("lang", "file_id", "project")],
+    )
+    # The last row of a file stands in a unit of its own level; a unit without tokens says nothing but that its pairs are stray.
+    u = F.when((F.size("toks") > 0) | F.col("stray"), F.struct(F.coalesce("grp", F.lit(-1)).alias("grp"), "unit", "stray", "toks"))
+    per_file = units.withColumn("u", u).groupBy("row").agg(F.max("misfit").alias("misfit"), F.collect_list("u").alias("units"), *[F.max(c).alias(c) for c in ("lang", "file_id", "project")])
+    # Files with a misfit bracket go through without their units; they need no match.
+    slim = per_file.select("file_id", "project", "lang", "misfit", F.when(~F.col("misfit"), F.col("units")).alias("units"))
+    schema = T.StructType([slim.schema["file_id"], slim.schema["project"], slim.schema["lang"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, tuple | None] = {}
+        for batch in batches:
+            langs, misfits = batch.column("lang").to_pylist(), batch.column("misfit").to_pylist()
+            bad = [i for i, (lang, m, units) in enumerate(zip(langs, misfits, batch.column("units"))) if m or not _fits(lang, units.as_py(), seen)]
+            yield batch.select(["file_id", "project", "lang"]).take(pa.array(bad, pa.int32()))
 
-    return source.map(ok)
+    return slim.mapInArrow(run, schema)
 
 
 def unparsable(files: DataFrame) -> DataFrame:
     """(file_id, project, lang) of distinct files that do not parse; lang is an index of ``LANGUAGES``."""
-    known = languages_of(files)
-    found = known.join(flagged_rows(tokens(known)), "row", "left_semi")
-    python = LANGUAGES.index("python")
-    return found.where((F.col("lang") != python) | ~python_parses("source")).select("file_id", "project", "lang").distinct()
+    return flagged(tokens(languages_of(files))).distinct()
 
 
 def rates(files: DataFrame, projects: DataFrame) -> DataFrame:

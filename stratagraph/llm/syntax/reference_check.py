@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .engine import CLOSE, END, OPEN, START
+from .engine import CLOSE, END, OPEN, START, WILD
 from .grammars import grammar
 from .lexers import lex
 
@@ -16,13 +16,14 @@ def faults(language: str, text: str) -> str | None:
     allowed = g.pairs() if not hasattr(g, "_pairs") else g._pairs
     g._pairs = allowed
     syms = [START, *[r[0] for r in rows], END]
-    for a, b in zip(syms, syms[1:]):
-        if (a, b) not in allowed:
-            return f"pair {a} {b}"
+    stray = {i for i, (a, b) in enumerate(zip(syms, syms[1:])) if (a, b) not in allowed}  # by the position of the second
     groups: dict[int, list[list[tuple[str, int]]]] = {-1: [[]]}
+    wild_only: set[tuple[int, int]] = set()  # units with a stray pair
     stack: list[tuple[str, bool, int]] = []
     at = -1
     for pos, (sym, d, sep) in enumerate(rows):
+        if pos in stray:
+            wild_only.add((at, len(groups[at]) - 1))
         if d < 0:
             if not stack or stack[-1][0] != _CLOSES[sym]:
                 return f"nesting {pos}"
@@ -39,14 +40,16 @@ def faults(language: str, text: str) -> str | None:
             groups[at].append([])
     if stack:
         return "nesting end"
+    if len(rows) in stray:
+        return f"pair {syms[-2]} {END}"
     todo = [(-1, g.root)]
     while todo:
         pos, ctx = todo.pop()
-        us = [u for u in groups[pos] if u]
-        if not us:
-            us = [[]]
-        for k, u in enumerate(us):
+        us = [(u, (pos, k) in wild_only) for k, u in enumerate(groups[pos]) if u or (pos, k) in wild_only]
+        for k, (u, strays) in enumerate(us or [([], False)]):
             c = g.first if pos == -1 and k == 0 else ctx
+            if strays and c != WILD:
+                return f"pair in {c}: {' '.join(s for s, _ in u)[:300]}"
             got = g.match(c, [s for s, _ in u])
             if got is None:
                 return f"production {c}: {' '.join(s for s, _ in u)[:300]}"

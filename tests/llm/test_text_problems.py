@@ -44,6 +44,38 @@ def test_pairs_come_from_the_grammar():
     assert all(len(grammar(x).pairs()) > 100 for x in LANGUAGES)
 
 
+CHAINS = {
+    "go": ("package a\n\nfunc f(x int) int {{\n{}\treturn 0\n}}\n", "\tif x == 0 {\n\t\tx = 1\n\t}", " else if x == 1 {\n\t\tx = 2\n\t}"),
+    "python": ("def f(x):\n{}    return 0\n", "    if x == 0:\n        x = 1", "\n    elif x == 1:\n        x = 2"),
+    "java": ("class A {{ int f(int x) {{\n{}\nreturn 0; }} }}\n", "if (x == 0) { x = 1; }", " else if (x == 1) { x = 2; }"),
+    "rust": ("fn f(x: i32) -> i32 {{\n{}\n0 }}\n", "if x == 0 { g(); }", " else if x == 1 { g(); }"),
+    "c": ("int f(int x) {{\n{}\nreturn 0; }}\n", "if (x == 0) { x = 1; }", " else if (x == 1) { x = 2; }"),
+    "javascript": ("function f(x) {{\n{}\nreturn 0 }}\n", "if (x === 0) { x = 1 }", " else if (x === 1) { x = 2 }"),
+    "typescript": ("function f(x: number): number {{\n{}\nreturn 0 }}\n", "if (x === 0) { x = 1 }", " else if (x === 1) { x = 2 }"),
+}
+TERNARY = {"python": "1 if x else ", "java": "x == 1 ? 2 : ", "c": "x == 1 ? 2 : ", "javascript": "x == 1 ? 2 : ", "typescript": "x == 1 ? 2 : "}
+
+
+@pytest.mark.parametrize("language", LANGUAGES)
+def test_long_chains_parse(language):
+    n = 5000
+    frame, head, more = CHAINS[language]
+    text = frame.format(head + more * n + "\n")
+    assert faults(language, text) is None and faults(language, frame.format(head + more * n + " else else\n")) is not None
+    end = "" if language in ("go", "python") else ";"
+    let = {"go": "\tx = ", "python": "    x = ", "rust": "let x = "}.get(language, "x = ")
+    assert faults(language, frame.format(let + "x + " * n + "1" + end + "\n")) is None
+    if language in TERNARY:
+        assert faults(language, frame.format(let + TERNARY[language] * n + "0" + end + "\n")) is None
+
+
+def test_wild_groups_hold_any_pairs_and_others_do_not():
+    assert faults("rust", "fn f() { m!(a b => [c, ; d]); }\n") is None
+    assert faults("rust", "fn f() { m(a b => c); }\n") is not None
+    assert faults("c", "int x __attribute__((a b, 3 : 4));\n") is None
+    assert len(grammar("rust").pairs()) < 0.5 * len(grammar("rust").tokens) ** 2
+
+
 def test_syntax_operator(spark):
     rows = [(i * 10, "p", f"f{i}.{e}", None if i % 2 else f"f{i}.{e}", t, 7) for i, (e, t) in enumerate([("go", GOOD["go"]), ("py", GOOD["python"]), ("java", GOOD["java"]), ("rs", GOOD["rust"]), ("c", GOOD["c"]), ("js", GOOD["javascript"]), ("ts", GOOD["typescript"])])]
     bad = [(1, "p", "a.go", None, GOOD["go"][:-2], 7), (2, "p", "a.go", "b.PY", "def f(:\n", 7), (3, None, "x.c", None, "int a[3;]\n", 7), (4, "p", "x.h", None, "#if 1\nint x;\n", 7), (5, "p", "e.go", None, "", 7), (6, "p", "e.js", None, "(" * 3000, 7)]
