@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import health, split_camel
 from .constraint import severity_rank
+from .cycles import components as cycle_members
 from .cycles import two_cycles
 from .graph import fan_in, fan_out
 
@@ -125,9 +126,9 @@ def solid_scan(*violations: DataFrame) -> dict[str, DataFrame]:
     return {"violations": u.orderBy(severity_rank(F.col("severity")), "component", "principle", "reason"), "summary": u.groupBy("principle").agg(F.count(F.lit(1)).alias("n"))}
 
 
-def pattern_scan(edges: DataFrame, cycles: DataFrame, accepted: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(pattern, component, confidence): members of cycles (column cycle, a->b->c), and pairs that import each other."""
-    circ = cycles.where("len > 1").select(F.explode(F.split("cycle", "->")).alias("component")).distinct().select(F.lit("circular_dependency").alias("pattern"), "component", F.lit(1.0).alias("confidence"))
+def pattern_scan(edges: DataFrame, accepted: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(pattern, component, confidence): members of cycles of two or more, and pairs that import each other."""
+    circ = cycle_members(edges, src, dst).select(F.lit("circular_dependency").alias("pattern"), F.col("node").alias("component"), F.lit(1.0).alias("confidence"))
     close = two_cycles(edges, src, dst).select(F.lit("inappropriate_intimacy").alias("pattern"), F.col("a").alias("component"), F.lit(0.9).alias("confidence")).distinct()
     u = circ.unionByName(close)
     return u if accepted is None else u.join(accepted.select("component", F.col("principle").alias("pattern")), ["component", "pattern"], "left_anti").select("pattern", "component", "confidence")
@@ -151,7 +152,7 @@ def pattern_catalog(spark, text: str = "") -> DataFrame:
 
 
 def symbol_quality(symbols: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(fqn, issue, severity): abbreviated, generic or, for exported functions, verbless names; by severity and weighted fan-in."""
+    """(fqn, issue, severity): abbreviated, generic or, for exported functions, verbless names; with weights (node, weighted_fan_in), in the order of severity and weight."""
     word = F.element_at(split_camel("name"), -1)
     short = F.when(~F.col("name").isin(*IDIOMS) & word.isin(*ABBREVIATIONS) & (F.length("name") > F.length(word)), F.struct(F.lit("abbreviation").alias("issue"), F.lit("info").alias("severity")))
     vague = F.when(word.isin(*GENERIC) & (F.length("name") - F.length(word) < 3), F.struct(F.lit("generic_name").alias("issue"), F.lit("warning").alias("severity")))
@@ -160,6 +161,7 @@ def symbol_quality(symbols: DataFrame, weights: DataFrame | None = None) -> Data
     out = symbols.select("fqn", F.explode(F.array_compact(F.array(short, vague, verbless))).alias("q")).select("fqn", "q.issue", "q.severity")
     if weights is not None:
         out = out.join(weights.select(F.col("node").alias("fqn"), "weighted_fan_in"), "fqn", "left").fillna(0, ["weighted_fan_in"])
+        out = out.orderBy(severity_rank(F.col("severity")), F.desc("weighted_fan_in"), "fqn", "issue")
     return out
 
 

@@ -200,6 +200,15 @@ def cross_repo(names_a: DataFrame, names_b: DataFrame) -> DataFrame:
     return u.select("name", F.when(F.col("s") == 3, "both").when(F.col("s") == 1, "a").otherwise("b").alias("side"))
 
 
+def new_cycles(edges_a: DataFrame, edges_b: DataFrame, max_len: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(new_cycles), one row: elementary circuits of both repositories' edges together beyond those that each has by itself; never below zero."""
+    from .cycles import elementary_cycles
+
+    a, b = ends(edges_a, src, dst), ends(edges_b, src, dst)
+    count = lambda e, sign: elementary_cycles(e, max_len).agg((F.count(F.lit(1)) * sign).alias("n"))
+    return count(a.union(b), 1).union(count(a, -1)).union(count(b, -1)).agg(F.greatest(F.sum("n"), F.lit(0)).alias("new_cycles"))
+
+
 def sample_commits(commits: DataFrame, target: int) -> DataFrame:
     """Every k-th commit from the oldest on, and always the last; at most about ``target`` of them. ``commits``: hash, date."""
     from ..runtime import global_rank

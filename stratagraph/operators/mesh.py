@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import base_of, instability, package_of
 from ..runtime import checkpoint, global_rank
 from .cycles import two_cycles
-from .graph import SMALL, closure, ends, fan_in, fan_out, undirected
+from .graph import closure, fan_in, fan_out, undirected
 
 LEVELS = ("symbol", "file", "package", "component")
 #: Standard packages that nearly every file calls (fixed values).
@@ -100,8 +100,7 @@ def overlay(nodes: DataFrame, edges: DataFrame, roles: DataFrame | None = None,
     fi, fo = fan_in(edges, src, dst).withColumnRenamed("node", "name"), fan_out(edges, src, dst).withColumnRenamed("node", "name")
     out = nodes.join(fi, "name", "left").join(fo, "name", "left").fillna(0, ["fan_in", "fan_out"])
     out = out.withColumn("instability", instability(F.col("fan_in"), F.col("fan_out")))
-    if len(ends(edges, src, dst).distinct().limit(SMALL + 1).take(SMALL + 1)) <= SMALL:
-        out = out.join(betweenness(edges, src, dst).select(F.col("node").alias("name"), F.col("betweenness").alias("choke_score")), "name", "left").fillna(0.0, ["choke_score"])
+    out = out.join(betweenness(edges, src, dst).select(F.col("node").alias("name"), F.col("betweenness").alias("choke_score")), "name", "left").fillna(0.0, ["choke_score"])
     if roles is not None:
         out = out.join(roles.select(F.col("component").alias("name"), "role"), "name", "left").withColumn("role", F.when(F.col("level") == 3, F.col("role")))
     return out

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fqn_of
@@ -52,25 +48,9 @@ def _nation_pairs(spark: SparkSession, d: str) -> DataFrame:
     return w.join(a, "c_nationkey").join(b, "s_nationkey")
 
 
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-@contextmanager
-def all_pairs() -> Iterator[None]:
-    """Plans made inside read every pair of components instead of the strongest partners of each."""
-    was = _WHOLE.set(True)
-    try:
-        yield
-    finally:
-        _WHOLE.reset(was)
-
-
-def component_edges(spark: SparkSession, d: str, partners: int = 2) -> DataFrame:
-    """(src, dst, weight, call_sites, loc_surface): customers' nation to suppliers' nation, the strongest partners of each; within ``all_pairs`` all."""
-    if _WHOLE.get():
-        return _nation_pairs(spark, d).select("src", "dst", "weight", F.col("weight").alias("call_sites"), "loc_surface")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "s_nationkey"))
-    return _nation_pairs(spark, d).withColumn("r", rank).where(F.col("r") <= partners).select("src", "dst", "weight", F.col("weight").alias("call_sites"), "loc_surface")
+def component_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, weight, call_sites, loc_surface): customers' nation to suppliers' nation, every pair that trades."""
+    return _nation_pairs(spark, d).select("src", "dst", "weight", F.col("weight").alias("call_sites"), "loc_surface")
 
 
 def component_dag(spark: SparkSession, d: str) -> DataFrame:

@@ -63,6 +63,14 @@ def _p4_combined(spark: SparkSession, d: str) -> DataFrame:
     return loc.select(F.lit("loc").alias("measure"), "*").unionByName(churn.select(F.lit("churn").alias("measure"), "*")).unionByName(fan.select(F.lit("fan_out").alias("measure"), "*"))
 
 
+def _p4_error(spark: SparkSession, d: str) -> DataFrame:
+    """The combined sketches against the exact percentiles: (measure, grp, p, n, exact, within the bound)."""
+    exact = _p4(spark, d).select("measure", F.col("grp").alias("g"), F.col("p").alias("q"), F.col("value").alias("exact"))
+    both = _p4_combined(spark, d).join(exact.withColumnRenamed("measure", "m"), (F.col("measure") == F.col("m")) & F.col("grp").eqNullSafe(F.col("g")) & (F.col("p") == F.col("q")))
+    off = F.abs(F.col("value") - F.col("exact"))
+    return both.select("measure", "grp", "p", "n", "exact", (off <= F.abs("exact") * 2.0**-12).alias("within"))
+
+
 def _p4_snapshots(spark: SparkSession, d: str) -> DataFrame:
     c = current_components(spark, d).withColumn("part", F.concat_ws("/", F.coalesce("language", F.lit("")), F.col("snapshot_no").cast("string")))
     return radix_select.percentiles(c, "part", "loc", (0.5,)).select("grp", "n", F.col("value").cast("bigint").alias("value"))
@@ -87,6 +95,7 @@ QUERIES = {
     "p3_counts": _p3_counts,
     "p4_percentiles": _p4,
     "p4_combined": _p4_combined,
+    "p4_combined_error": _p4_error,
     "p4_snapshot_medians": _p4_snapshots,
     "p5_found": _p5,
     "p5_name_stats": _p5_stats,
@@ -147,14 +156,19 @@ def _ranked(source: str, group: str, value: str, measure: str) -> str:
     (SELECT unnest([{", ".join(f"{p}::DOUBLE" for p in PS)}]) AS p) q WHERE r = greatest(1, ceil(p * n))"""
 
 
+_P4 = (
+    f"WITH {_CURRENT}, probes AS (SELECT DISTINCT probe_id, kind, fan_out FROM probe_results), exact AS ("
+    + " UNION ALL ".join([_ranked("current", "language", "loc", "loc"), _ranked("current", "language", "churn", "churn"), _ranked("probes", "kind", "fan_out", "fan_out")])
+    + ") "
+)
+
 ORACLES = {
     "p2_found": _P2 + "SELECT tab, snapshot_no::INTEGER AS snapshot_no, project, item, change FROM found",
     "p2_counts": _P2 + "SELECT tab, snapshot_no::INTEGER AS snapshot_no, project, change, count(*) AS n FROM found GROUP BY ALL",
     "p3_found": _P3 + "SELECT DISTINCT tab, ref_id FROM found",
     "p3_counts": _P3 + "SELECT tab, strftime(t, '%Y-%m') AS month, count(DISTINCT ref_id) AS n FROM found GROUP BY ALL",
-    "p4_percentiles": f"WITH {_CURRENT}, probes AS (SELECT DISTINCT probe_id, kind, fan_out FROM probe_results) SELECT measure, grp, p, n, value::BIGINT AS value FROM ("
-    + " UNION ALL ".join([_ranked("current", "language", "loc", "loc"), _ranked("current", "language", "churn", "churn"), _ranked("probes", "kind", "fan_out", "fan_out")])
-    + ")",
+    "p4_percentiles": _P4 + "SELECT measure, grp, p, n, value::BIGINT AS value FROM exact",
+    "p4_combined_error": _P4 + "SELECT measure, grp, p, n, value::BIGINT AS exact, TRUE AS within FROM exact",
     "p4_snapshot_medians": f"""WITH {_CURRENT} SELECT grp, n, value::BIGINT AS value FROM (
       SELECT grp, loc AS value, row_number() OVER (PARTITION BY grp ORDER BY loc) AS r, count(*) OVER (PARTITION BY grp) AS n
       FROM (SELECT coalesce(language, '') || '/' || snapshot_no AS grp, loc FROM current WHERE loc IS NOT NULL)) WHERE r = greatest(1, ceil(0.5 * n))""",

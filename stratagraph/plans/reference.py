@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import package_of
+from ..functions.scalar import dir_of, package_of, short_hash
 from ..operators import clinic, constraint, cycles, graph, impact, kernels, mesh, model, primitives, render, retrieval, temporal
 from ..runtime import checkpoint, table
 from ..sources import scanners
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 CE = """pairs AS (
   SELECT cn.n_name AS src, sn.n_name AS dst, s_nationkey, count(*) AS weight, count(DISTINCT l_orderkey) AS loc_surface
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY ALL),
-ce AS (SELECT src, dst, weight, weight AS call_sites, loc_surface FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, s_nationkey) AS r FROM pairs) WHERE r <= 2)"""
+ce AS (SELECT src, dst, weight, weight AS call_sites, loc_surface FROM pairs)"""
 DAG = CE + ",\ndag AS (SELECT * FROM ce WHERE src < dst)"
 COMPS = """comps AS (
   SELECT n_name AS name, r_name AS package,
@@ -430,7 +430,12 @@ def _equal_pairs(s: SparkSession, d: str) -> DataFrame:
     return e.alias("x").join(e.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.dst") < F.col("y.dst"))).select(F.col("x.dst").alias("a"), F.col("y.dst").alias("b"), F.lit(1.0).alias("sim"))
 
 
-query("cohesion_clusters")(lambda s, d: impact.cohesion_clusters(_ce(s, d), 0.3).select("label", _text("members"), "size", "consumers"))
+query(
+    "cohesion_clusters",
+    f"""WITH RECURSIVE {CE}, c AS (SELECT DISTINCT src, dst FROM ce), n AS (SELECT dst, count(*) AS n FROM c GROUP BY 1), i AS (SELECT a.dst AS a, b.dst AS b, count(*) AS k FROM c a JOIN c b ON a.src = b.src AND a.dst < b.dst GROUP BY 1, 2),
+s AS (SELECT a, b FROM i JOIN n x ON x.dst = a JOIN n y ON y.dst = b WHERE k / (x.n + y.n - k) >= 0.3), u AS (SELECT a, b FROM s UNION SELECT b, a FROM s), r AS (SELECT a AS node, a AS m FROM u UNION SELECT b, m FROM r JOIN u ON node = a),
+l AS (SELECT node, min(m) AS label FROM r GROUP BY 1), g AS (SELECT label, string_agg(node, ',' ORDER BY node) AS members, count(*) AS size FROM l GROUP BY 1), k AS (SELECT label, count(DISTINCT src) AS consumers FROM ce JOIN l ON node = dst GROUP BY 1) SELECT * FROM g JOIN k USING (label)""",
+)(lambda s, d: impact.cohesion_clusters(_ce(s, d), 0.3).select("label", _text("members"), "size", "consumers"))
 MOVES = [{"delete": "NATION_1"}, {"rename": "NATION_2", "to": "NATION_3"}]
 _WI = "mp AS (SELECT CASE WHEN src = 'NATION_2' THEN 'NATION_3' ELSE src END AS src, CASE WHEN dst = 'NATION_2' THEN 'NATION_3' ELSE dst END AS dst, weight, call_sites, loc_surface FROM ce WHERE src <> 'NATION_1' AND dst <> 'NATION_1'), af AS (SELECT src, dst, max(weight) AS weight, sum(call_sites)::BIGINT AS call_sites, sum(loc_surface)::BIGINT AS loc_surface FROM mp WHERE src <> dst GROUP BY 1, 2)"
 query("what_if_edges", f"WITH {CE}, {_WI} SELECT * FROM af")(lambda s, d: impact.what_if(_ce(s, d), bind.components(s, d), MOVES)["edges"])
@@ -574,9 +579,61 @@ query("solid_summary", f"WITH {SE}, {N}, {_SRP}, {_ISP} SELECT principle, count(
 query("ocp")(lambda s, d: clinic.ocp(table(s, d, "parsed_files").select(F.col("path").alias("component"), "source")))
 query(
     "pattern_scan",
-    f"WITH {CE}, {XD}, {CYC}, m AS (SELECT DISTINCT unnest(string_split(cycle, '->')) AS component FROM cyc WHERE len > 1) SELECT 'circular_dependency' AS pattern, component, 1.0::DOUBLE AS confidence FROM m UNION ALL SELECT DISTINCT 'inappropriate_intimacy', a.src, 0.9 FROM x a JOIN x b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst",
-)(lambda s, d: clinic.pattern_scan(_ce(s, d), cycles.elementary_cycles(_ce(s, d), 4)))
-query("pattern_catalog")(lambda s, d: clinic.pattern_catalog(s))
+    f"WITH RECURSIVE {CE}, {XD}, y AS (SELECT * FROM x WHERE src <> dst), far AS (SELECT src AS a, dst AS b FROM y UNION SELECT a, dst FROM far JOIN y ON b = src) SELECT 'circular_dependency' AS pattern, a AS component, 1.0::DOUBLE AS confidence FROM far WHERE a = b UNION ALL SELECT DISTINCT 'inappropriate_intimacy', a.src, 0.9 FROM x a JOIN x b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst",
+)(lambda s, d: clinic.pattern_scan(_ce(s, d)))
+query("pattern_catalog", " UNION ALL ".join("SELECT " + ", ".join(f"'{v}' AS {k}" for k, v in zip(("id", "kind", "name", "about"), row)) for row in clinic.CATALOG))(lambda s, d: clinic.pattern_catalog(s))
+query(
+    "cross_repo_new_cycles_len4",
+    f"WITH {CE}, {XD}, {CYC} SELECT count(*) FILTER (len > 1) AS new_cycles FROM cyc",
+)(lambda s, d: impact.new_cycles(_ce(s, d).where("src < dst"), _ce(s, d).where("src >= dst"), 4))
+query("resolve_roles", f"WITH {CE}, {COMPS}, {FI}, {HX} SELECT component, CASE WHEN component = 'NATION_1' THEN 'infra' ELSE role END AS role FROM rl UNION ALL SELECT 'elsewhere', 'port'")(
+    lambda s, d: clinic.resolve_roles(_hexa(s, d), s.createDataFrame([("NATION_1", "infra"), ("elsewhere", "port")], "component string, role string"))
+)
+query("suppressed", f"WITH {SE}, {N}, {_SRP} SELECT * FROM sr WHERE component <> (SELECT min(component) FROM sr)")(lambda s, d: _suppressed(s, d))
+
+
+def _suppressed(s: SparkSession, d: str) -> DataFrame:
+    found = checkpoint(clinic.srp(*_packages(s, d)))
+    return clinic.suppress(found, found.agg(F.min("component").alias("component")).withColumn("principle", F.lit("SRP")))
+
+
+query(
+    "gaps",
+    r"""WITH f AS (SELECT CASE WHEN contains(rel_path, '/') THEN regexp_replace(rel_path, '/[^/]*$', '') ELSE '' END AS component, lower(regexp_extract(rel_path, '([^/]*)$', 1)) AS base FROM parsed_files WHERE rel_path IS NOT NULL),
+g AS (SELECT component, bool_or(regexp_matches(base, '(_test\.go|^test_.*\.py|_test\.py|\.(test|spec)\.[jt]sx?|test\.java|_test\.rs)$')) AS t, bool_or(regexp_matches(base, '^(readme|doc)(\.|$)|\.md$|^doc\.go$')) AS d FROM f GROUP BY 1)
+SELECT component, 'no tests' AS gap, 'warning' AS severity FROM g WHERE NOT t UNION ALL SELECT component, 'no docs', 'warning' FROM g WHERE NOT d""",
+)(lambda s, d: constraint.gaps(table(s, d, "parsed_files").where("rel_path IS NOT NULL").select(dir_of("rel_path").alias("component"), F.col("rel_path").alias("file"))))
+query("search_components", f"WITH {COMPS} SELECT name, loc, churn FROM comps WHERE contains(lower(name), 'nation_1')")(lambda s, d: retrieval.search_components(bind.components(s, d), "Nation_1").select("name", "loc", "churn"))
+query("top_churn", f"WITH {COMPS} SELECT name AS component, churn FROM comps ORDER BY churn DESC, name LIMIT 10")(lambda s, d: retrieval.top_churn(bind.components(s, d)))
+query("symbol_hashes", f"WITH {N} SELECT fqn, substr(sha256(fqn), 1, 16) AS hash FROM n")(lambda s, d: bind.symbol_nodes(s, d).select("fqn", short_hash("fqn").alias("hash")))
+query(
+    "changed_packages",
+    f"WITH c AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT n_name FROM nation), h AS (SELECT DISTINCT event_type AS name FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY) SELECT name, name IN (SELECT name FROM h) AS changed FROM c",
+)(lambda s, d: _changed(s, d))
+
+
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    c, last = bind.commits(s, d), table(s, d, "events").agg(F.max("ts").alias("last"))  # one row
+    recent = c.crossJoin(F.broadcast(last)).where(F.col("date") >= F.col("last") - F.expr("INTERVAL 1 DAY"))
+    names = table(s, d, "events").select(F.col("event_type").alias("name")).union(table(s, d, "nation").select("n_name")).distinct()
+    return temporal.changed_packages(recent.select("file"), names)
+
+
+query("detect_language")(lambda s, d: scanners.detect_language(table(s, d, "parsed_files").where("rel_path IS NOT NULL").select(F.col("project").alias("root"), F.col("rel_path").alias("path")).distinct()))
+query("call_path")(lambda s, d: _call_path(s, d))
+
+
+def _call_path(s: SparkSession, d: str) -> DataFrame:
+    """From the first caller to the last of the names it reaches within three hops."""
+    e = checkpoint(bind.simple_call_edges(s, d).select(F.regexp_extract("source", r"([^.]*)$", 1).alias("source"), F.regexp_extract("target", r"([^.]*)$", 1).alias("target")).distinct())
+    start = e.agg(F.min("source")).first()[0]
+    if start is None:
+        return s.createDataFrame([], "pos int, node string")
+    goal = graph.closure(e, _seed(s, start), "source", "target", max_depth=3).agg(F.max(F.struct("depth", "node")).alias("x")).first()["x"]["node"]
+    path, _ = retrieval.call_path(e, start, goal)
+    return s.createDataFrame(list(enumerate(path)), "pos int, node string")
+
+
 query("symbol_quality")(lambda s, d: clinic.symbol_quality(bind.symbol_nodes(s, d), graph.weighted_fan_in(bind.call_edges(s, d).withColumn("weight", F.lit(1)), "source", "target")))
 _V = "ARRAY[" + ", ".join(f"'{k}'" for k in clinic.SYNONYMS) + "]", "ARRAY[" + ", ".join(f"'{v}'" for v in clinic.SYNONYMS.values()) + "]"
 query(
@@ -689,21 +746,19 @@ def _pipelines(s: SparkSession, d: str) -> DataFrame:
 # -- text ---------------------------------------------------------------------------------------------------------------------------------
 query("facts", f"WITH {CE}, {COMPS} SELECT src || ' depends on ' || dst || ' with ' || weight || ' uses.' AS fact FROM ce UNION ALL SELECT name || ' has ' || loc || ' lines.' FROM comps")(lambda s, d: render.facts(bind.components(s, d), bind.component_edges(s, d)))
 query("edge_list", f"WITH {CE} SELECT 'edges:' || chr(10) || string_agg(src || ' -> ' || dst, chr(10) ORDER BY src, dst) AS text FROM ce")(lambda s, d: render.edge_list(bind.component_edges(s, d)))
-for _kind in ("dependency", "tree", "coupling", "churn", "c4", "layers", "dsm"):
+for _kind in ("dependency", "tree", "coupling", "churn", "c4", "layers", "zones", "dsm"):
     query(f"diagram_{_kind}")(lambda s, d, kind=_kind: render.render(kind, components=bind.components(s, d), edges=_ce(s, d)))
+for _kind in ("sequence", "callgraph", "dataflow"):
+    query(f"diagram_{_kind}")(lambda s, d, kind=_kind: render.render(kind, calls=bind.call_edges(s, d), nodes=bind.symbol_nodes(s, d), start=_pivot(s, d), depth=2))
 
-# -- the same over all pairs of components -------------------------------------------------------------------------
-CE_ALL = CE.partition("ce AS (")[0] + "ce AS (SELECT src, dst, weight, weight AS call_sites, loc_surface FROM pairs)"
-_NO_SQL = ["import_depth_general", "betweenness", "rcm_order", "mesh_overlay", "cohesion_clusters", *[x for x in QUERIES if x.startswith("diagram_")]]
-
-
-def _whole(fn):
-    def run(s: SparkSession, d: str) -> DataFrame:
-        with bind.all_pairs():
-            return fn(s, d)
 
-    return run
+def _types(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    n, e = bind.symbol_nodes(s, d), bind.symbol_edges(s, d)
+    refs = table(s, d, "field_refs").where("owner IS NOT NULL AND ref_type IS NOT NULL").select(F.trim("owner").alias("owner"), "field", "ref_type").distinct()
+    return {"classes": n.where(F.col("kind").isin("struct", "class", "interface")).select(F.col("fqn").alias("name"), "kind"), "impls": e.where("kind <> 'call'").select(F.col("source").alias("from"), F.col("target").alias("to"), "kind"), "refs": refs}
 
 
-for _name in [*[x for x, sql in ORACLES.items() if CE in sql], *[x for x in _NO_SQL if x not in ORACLES]]:
-    query(f"{_name}_all_pairs", ORACLES[_name].replace(CE, CE_ALL) if _name in ORACLES else None)(_whole(QUERIES[_name]))
+for _kind in ("classes", "interfaces", "er"):
+    query(f"diagram_{_kind}")(lambda s, d, kind=_kind: render.render(kind, **{k: v for k, v in _types(s, d).items() if kind == "er" or k != "refs"}))
+query("diagram_hexa")(lambda s, d: render.render("hexa", roles=_hexa(s, d), violations=clinic.hexa_violations(_ce(s, d), checkpoint(_hexa(s, d)))))
+query("json_report")(lambda s, d: render.json_report(bind.components(s, d), _ce(s, d)))

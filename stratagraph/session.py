@@ -40,7 +40,7 @@ class Session:
             "hot_spots": lambda top_n=10, **_: retrieval.top_churn(self.t.components, int(top_n)),
             "deps": lambda component, **_: retrieval.dependencies(self.t.edges, component),
             "coupling": lambda sort_by="fan_in", top_n=20, **_: retrieval.coupling_table(self.t.components, self.t.edges, sort_by, int(top_n)),
-            "cycles": lambda max_len=6, **_: cycles.elementary_cycles(self.t.edges, int(max_len)),
+            "cycles": lambda max_len=None, **_: cycles.elementary_cycles(self.t.edges, int(max_len) if max_len else None),
             "violations": lambda layers=None, **_: self._layers(layers),
             "callers": lambda symbol, **_: retrieval.callers(self.t.calls, symbol),
             "callees": lambda symbol, **_: retrieval.callees(self.t.calls, symbol),
@@ -53,7 +53,7 @@ class Session:
             "impact": lambda component, **_: impact.impact(self.t.edges, self.t.components).where(F.col("component") == component),
             "symbol_graph": lambda **_: self.t.calls,
             "pipelines": lambda min_length=3, **_: self._pipelines(int(min_length)),
-            "pattern_scan": lambda max_len=6, **_: clinic.pattern_scan(self.t.edges, cycles.elementary_cycles(self.t.edges, int(max_len)), self.t.accepted),
+            "pattern_scan": lambda **_: clinic.pattern_scan(self.t.edges, self.t.accepted),
             "pattern_catalog": lambda filter="", **_: clinic.pattern_catalog(self.spark, filter),
             "hexa_validate": lambda **_: clinic.hexa_violations(self.t.edges, self.roles()),
             "solid_scan": lambda **_: self._solid()["violations"],
@@ -205,13 +205,13 @@ class Session:
     }
 
     def preset(self, name: str) -> DataFrame:
-        """(section, text): a table of each section's first rows."""
+        """(section, text): a table of all of each section's rows."""
         if name not in self.PRESETS:
             raise ValueError(f"unknown preset {name!r}; known: {', '.join(self.PRESETS)}")
         out = None
         for section in self.PRESETS[name]:
             df = self.run(section)
             plain = df.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
-            text = render.markdown_table(plain.orderBy(*plain.columns).limit(20), plain.columns, list(plain.columns)).select(F.lit(section).alias("section"), "text")
+            text = render.markdown_table(plain, plain.columns, list(plain.columns)).select(F.lit(section).alias("section"), "text")
             out = text if out is None else out.union(text)
         return out

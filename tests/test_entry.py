@@ -7,7 +7,8 @@ SF = "/root/testdata/sf0.001"
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 NAMES = (
     "component_edges fan_in probe_all probe_types entry_points scenario_edges convergence islands on_cycle_nodes elementary_cycles_len4 import_depth connected_components mesh_nodes mesh_aggregate_component "
-    "impact risk_scores what_if_edges report_diff boundary_rules drift hexa_roles vocab_map churn coverage route c_includes package_edges p2_found p3_found p4_percentiles p5_found p5_name_stats"
+    "impact risk_scores what_if_edges report_diff boundary_rules drift hexa_roles vocab_map churn coverage route c_includes package_edges p2_found p3_found p4_percentiles p5_found p5_name_stats "
+    "p4_combined_error pattern_scan cross_repo_new_cycles_len4 cohesion_clusters resolve_roles suppressed gaps top_churn symbol_hashes changed_packages"
 ).split()
 
 

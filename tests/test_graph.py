@@ -75,6 +75,15 @@ def test_random_graphs(spark, seed):
             if p[0] == min(p) and all(b in adj[a] for a, b in zip(p, p[1:] + p[:1])):
                 found.add("->".join(p))
     assert {r[0] for r in rows(cycles.elementary_cycles(df, 4), "cycle")} == found
+    assert {r[0] for r in rows(cycles.elementary_cycles(df, 4, small=0), "cycle")} == found, "the way for large graphs"
+    for k in range(5, len(nodes) + 1):
+        for p in itertools.permutations(sorted(nodes), k):
+            if p[0] == min(p) and all(b in adj[a] for a, b in zip(p, p[1:] + p[:1])):
+                found.add("->".join(p))
+    assert sorted(r[0] for r in rows(cycles.elementary_cycles(df), "cycle")) == sorted(found)
+    scc = {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+    several = sorted((n, r) for n, r in scc.items() if list(scc.values()).count(r) > 1)
+    assert rows(cycles.components(df)) == several and rows(cycles.components(df, small=0)) == several
     und = {(a, b) for a, b in edges} | {(b, a) for a, b in edges}
     _, _, ur = brute(sorted(und))
     assert rows(graph.weak_components(df)) == sorted((n, min(ur[n])) for n in nodes)
@@ -104,6 +113,51 @@ def test_kernels(spark):
     assert [(r["steps"], r["type_chain"]) for r in got] == [(["Parse", "Transform", "Render"], ["*AST", "*IR"])]
 
 
+def test_kernels_of_large_graphs(spark):
+    rnd = random.Random(5)
+    names = [f"n{i:02d}" for i in range(14)]
+    edges = sorted({(rnd.choice(names), rnd.choice(names)) for _ in range(22)})
+    df = spark.createDataFrame(edges, "src string, dst string")
+    small, large = dict(rows(kernels.betweenness(df))), dict(rows(kernels.betweenness(df, small=0)))
+    assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-9 for k in small) and max(small.values()) > 0
+    adj = {n: sorted({b for a, b in edges if a == n and b != n} | {a for a, b in edges if b == n and a != n}) for e in edges for n in e}
+    key = lambda n: (len(adj[n]), n)
+    order = [min(adj, key=key)]
+    for v in order:
+        order += [w for w in sorted(adj[v], key=key) if w not in order]
+    order += sorted(set(adj) - set(order))
+    assert [r["node"] for r in kernels.rcm_order(df).orderBy("pos").collect()] == order[::-1]
+    assert kernels.rcm_order(df.limit(0)).isEmpty() and kernels.betweenness(df.limit(0)).isEmpty()
+
+
+def test_pipelines_are_walked_in_the_order_of_names(spark):
+    rnd = random.Random(11)
+    for _ in range(4):
+        names = [f"f{i:02d}" for i in range(30)]
+        after = {n: rnd.choice(names) for n in names if rnd.random() < 0.8}
+        want, seen = [], set()
+        for s in sorted(after):
+            if s in seen:
+                continue
+            chain = [s]
+            seen.add(s)
+            while chain[-1] in after and after[chain[-1]] not in seen:
+                chain.append(after[chain[-1]])
+                seen.add(chain[-1])
+            if len(chain) >= 2:
+                want.append((s, chain))
+        e = spark.createDataFrame([(a, b, ["T"], ["T"], "f", i) for i, (a, b) in enumerate(after.items())] + [(None, n, ["T"], ["T"], "f", 99) for n in names][:0], "source string, target string, param_types array<string>, return_types array<string>, file string, line int")
+        sig = spark.createDataFrame([("~" + n, n, ["T"], ["T"], "e", 0) for n in names], e.schema)
+        got = kernels.typed_pipelines(e.unionByName(sig), 2).where(~F.col("start").startswith("~")).collect()
+        assert sorted((r["start"], r["steps"]) for r in got) == want and all(r["type_chain"] == ["T"] * (r["length"] - 1) for r in got)
+
+
+def test_new_cycles(spark):
+    a = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "y")], "src string, dst string")
+    b = spark.createDataFrame([("y", "x"), ("b", "c"), ("c", "a")], "src string, dst string")
+    assert rows(impact.new_cycles(a, b)) == [(2,)] and rows(impact.new_cycles(a, a)) == [(0,)]
+
+
 def test_mesh(spark):
     e = spark.createDataFrame([("pkg.Alpha", "pkg.Beta", 1.0), ("pkg.Beta", "pkg.Alpha", 1.0), ("pkg.Beta", "pkg.Gamma", 1.0)], "source string, target string, weight double")
     assert rows(mesh.circuits(e, 0.3)) == [(1, "pkg.Alpha", "pkg.Beta")]
@@ -147,5 +201,5 @@ def test_component_queries_read_all_pairs(spark):
     if not os.path.isdir(d):
         pytest.skip("needs the test tables")
     whole = {(r["src"], r["dst"]) for r in bind._nation_pairs(spark, d).collect()}
-    assert {(r["src"], r["dst"]) for r in q["component_edges_all_pairs"](spark, d).collect()} == whole
-    assert q["dependencies_all_pairs"](spark, d).count() == sum((a == "NATION_3") + (b == "NATION_3") for a, b in whole)
+    assert {(r["src"], r["dst"]) for r in q["component_edges"](spark, d).collect()} == whole
+    assert q["dependencies"](spark, d).count() == sum((a == "NATION_3") + (b == "NATION_3") for a, b in whole)
