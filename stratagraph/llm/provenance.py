@@ -4,7 +4,8 @@
   the best one or two rules, with all their occurrences, make up most of a file, a program wrote it.
 * Data in code form: literals that their own Re-Pair grammar hardly shortens make up most of the file.
 * Copied from third parties: rules over the tokens as written are named by their content, so that they can be compared over all
-  repositories; a file that mostly consists of rules of known third-party files is a copy, renamed or altered as it may be.
+  repositories; a file that mostly consists of rules of known third-party files is a copy, renamed or altered as it may be, and so
+  is one with long stretches of rules that other projects hold as well.
 * Minified: the code has hardly any line ends.
 * What a comment or the path itself declares (a generator's notice, an upstream's notice, a folder of vendored code) tells those
   files apart whose tokens look like any other's. Only comments count, never strings that hold such words, and not notices that
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from .repair_grammar import global_rules, infer, lengths, occurrences, tokens
 BLOCK = 20_000
 #: Shares from which a file counts: of the best rule, of the best two, of incompressible literals, of third-party rules; characters a line.
 ONE_RULE, TWO_RULES, BLOB, COPY, LINE = 0.7, 0.72, 0.6, 0.5, 150
+#: Rules of so many tokens that several projects hold make a copy where they are this share of a file and so many tokens; shorter ones are shared by chance.
+LONG_RULE, SHARED, SHARED_TOKENS = 20, 0.2, 60
 
 #: What notices say (fixed values). The second pattern denies the first.
 GENERATED = re.compile(
@@ -178,34 +182,62 @@ def facts(rows: DataFrame) -> DataFrame:
 
 
 def judged(files: DataFrame, thirdparty: DataFrame) -> DataFrame:
-    """(file_id, project, generated, minified, third_party, data) of every row."""
+    """(file_id, project, one column each evidence, generated, minified, third_party, data) of every row."""
     name = F.regexp_replace(F.coalesce(F.col("rel_path"), F.col("path")), r"\\", "/")
     both = F.concat_ws("\n", F.regexp_replace("rel_path", r"\\", "/"), F.regexp_replace("path", r"\\", "/"))
     own = files.select(F.monotonically_increasing_id().alias("row"), "file_id", "project", name.alias("name"), both.alias("paths"), "source")
     known = thirdparty.select(F.col("rel_path").alias("name"), "source").where(F.col("source").isNotNull())
     f = checkpoint(facts(spread(own)))  # read twice: its texts are lexed once
     # A rule of one or two tokens is shared by chance.
-    theirs = facts(known).select(F.explode("rules").alias("rule")).distinct().withColumn("known", F.lit(1))
-    uses = f.select("row", F.explode(F.arrays_zip("rules", "sizes")).alias("r")).select("row", F.col("r.rules").alias("rule"), F.col("r.sizes").alias("size"))
+    theirs = facts(known).select(F.explode("rules").alias("rule"), F.lit(1).alias("known"), F.lit(0).alias("many")).distinct()
+    uses = f.select("row", "project", F.explode(F.arrays_zip("rules", "sizes")).alias("r")).select("row", "project", F.col("r.rules").alias("rule"), F.col("r.sizes").alias("size"))
+    of = F.coalesce("project", F.lit(""))
+    many = uses.where(F.col("size") >= LONG_RULE).groupBy("rule").agg(F.min(of).alias("a"), F.max(of).alias("b")).where("a <> b").select("rule", F.lit(0).alias("known"), F.lit(1).alias("many"))
+    named = theirs.unionByName(many).groupBy("rule").agg(F.max("known").alias("known"), F.max("many").alias("many"))
     size = uses.groupBy("row", "rule").agg(F.sum("size").alias("size"), F.max("size").alias("one"))
-    share = lookup(size, theirs, ["rule"], "row").groupBy("row").agg((F.sum(F.when((F.col("known") == 1) & (F.col("one") >= 5), F.col("size")).otherwise(0)) / F.sum("size")).alias("copied"))
+    tokens_of = lambda mark, least: F.sum(F.when((F.col(mark) == 1) & (F.col("one") >= least), F.col("size")).otherwise(0))
+    share = lookup(size, named, ["rule"], "row").groupBy("row").agg((tokens_of("known", 5) / F.sum("size")).alias("copied"), tokens_of("many", LONG_RULE).alias("shared"), F.sum("size").alias("tokens"))
     libs = thirdparty.select(F.lower("lib").alias("owner")).where(F.col("owner").isNotNull()).distinct().withColumn("is_lib", F.lit(True))
     j = f.drop("rules", "sizes").join(share, "row", "left").join(libs, "owner", "left")
     where = lambda pattern: F.coalesce(F.exists(F.split("paths", "\n"), lambda p: p.rlike(pattern)), F.lit(False))
-    return j.select(
-        "file_id",
-        "project",
-        (F.col("says_generated") | (F.col("one_rule") >= ONE_RULE) | (F.col("two_rules") >= TWO_RULES) | where(GENERATED_PATH)).alias("generated"),
-        ((F.col("line") >= LINE) | where(MINIFIED_PATH)).alias("minified"),
-        (F.col("says_upstream") | (F.coalesce("copied", F.lit(0.0)) >= COPY) | F.coalesce("is_lib", F.lit(False)) | where(VENDOR_PATH)).alias("third_party"),
-        (F.col("blob") >= BLOB).alias("data"),
-    )
+    evidence = {
+        "repeated_rules": (F.col("one_rule") >= ONE_RULE) | (F.col("two_rules") >= TWO_RULES),
+        "generated_notice": F.col("says_generated"),
+        "generated_path": where(GENERATED_PATH),
+        "long_lines": F.col("line") >= LINE,
+        "minified_path": where(MINIFIED_PATH),
+        "third_party_rules": F.coalesce("copied", F.lit(0.0)) >= COPY,
+        "shared_rules": F.coalesce((F.col("shared") >= SHARED * F.col("tokens")) & (F.col("shared") >= SHARED_TOKENS), F.lit(False)),
+        "upstream_notice": F.col("says_upstream"),
+        "owner": F.coalesce("is_lib", F.lit(False)),
+        "vendor_path": where(VENDOR_PATH),
+        "incompressible": F.col("blob") >= BLOB,
+    }
+    rows = j.select("file_id", "project", *[e.alias(n) for n, e in evidence.items()])
+    return rows.select("*", *[reduce(lambda a, b: a | b, map(F.col, names)).alias(kind) for kind, names in KINDS.items()])
+
+
+#: What tells each kind; the first of each are grammars, the rest is what comments, paths and line ends declare.
+KINDS = {
+    "generated": ("repeated_rules", "generated_notice", "generated_path"),
+    "minified": ("long_lines", "minified_path"),
+    "third_party": ("third_party_rules", "shared_rules", "upstream_notice", "owner", "vendor_path"),
+    "data": ("incompressible",),
+}
+GRAMMARS = ("repeated_rules", "third_party_rules", "shared_rules", "incompressible")
+
+
+def evidence_counts(files: DataFrame, thirdparty: DataFrame) -> DataFrame:
+    """(evidence, files, alone, beyond_grammars): distinct files that each evidence finds, that no other finds, and that no grammar finds."""
+    names = [n for ns in KINDS.values() for n in ns]
+    per = judged(files, thirdparty).groupBy("file_id").agg(*[F.max(n).alias(n) for n in names])
+    hits = sum((F.col(n).cast("int") for n in names), F.lit(0))
+    by_grammar = reduce(lambda a, b: a | b, map(F.col, GRAMMARS))
+    one = per.select(hits.alias("hits"), by_grammar.alias("g"), F.explode(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))).alias("evidence"))
+    return one.groupBy("evidence").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("hits") == 1).alias("alone"), F.count_if(~F.col("g")).alias("beyond_grammars"))
 
 
 def not_handwritten(files: DataFrame, thirdparty: DataFrame) -> DataFrame:
     """(file_id, project, generated, minified, third_party, data) of distinct files for which any holds."""
-    kinds = ("generated", "minified", "third_party", "data")
-    any_kind = F.col(kinds[0])
-    for k in kinds[1:]:
-        any_kind = any_kind | F.col(k)
-    return judged(files, thirdparty).where(any_kind).groupBy("file_id", "project").agg(*[F.max(k).alias(k) for k in kinds])
+    any_kind = reduce(lambda a, b: a | b, map(F.col, KINDS))
+    return judged(files, thirdparty).where(any_kind).groupBy("file_id", "project").agg(*[F.max(k).alias(k) for k in KINDS])
