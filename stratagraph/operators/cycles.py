@@ -48,12 +48,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", small: int
     One label a node: where the smallest name that reaches a node is also the smallest that it reaches, the two are on one cycle.
     Edges between nodes that differ in either label join no component and fall away, and the rest is labelled again.
     """
-    core = cyclic_core(ends(edges, src, dst).where("src <> dst"))
-    pairs = fetch_small(core, small)
+    plain = ends(edges, src, dst).where("src <> dst")
+    pairs = fetch_small(plain, small)
     if pairs is not None:
-        names = [(n, c) for c in _tarjan(pairs) if len(c) > 1 for n in c]
-        return edges.sparkSession.createDataFrame([(n, min(c)) for n, c in names], "node string, scc string")
-    done: list[DataFrame] = []
+        names = [(n, min(c)) for c in _tarjan(pairs) if len(c) > 1 for n in c]
+        return edges.sparkSession.createDataFrame(names, "node string, scc string")
+    core, done = cyclic_core(plain), []
     while not core.isEmpty():
         names = checkpoint(nodes_of(core).select("node", F.col("node").alias("label")))
         back = core.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -219,13 +219,17 @@ def _circuits_from(after: dict[str, list[str]], start: str, max_len: int | None)
             closed.append(False)
 
 
-def import_depth(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def import_depth(edges: DataFrame, src: str = "src", dst: str = "dst", small: int = SMALL) -> DataFrame:
     """(node, depth): longest way from nodes nobody imports; -1 on cycles.
 
     All edge rows count for the in-degree, those out of cycles too: a node below a cycle keeps the depth that its other importers
-    gave it and is not followed further.
+    gave it and is not followed further. Graphs of at most ``small`` distinct edges are worked out at once, larger ones by one join a
+    level.
     """
     e = checkpoint(ends(edges, src, dst))
+    pairs = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).limit(small + 1).collect()
+    if len(pairs) <= small:
+        return edges.sparkSession.createDataFrame(_depths([(r["src"], r["dst"], r["n"]) for r in pairs]), "node string, depth int")
     bad = checkpoint(on_cycle_nodes(e))
     names = nodes_of(e)
     free = names.join(bad, "node", "left_anti")
@@ -247,6 +251,24 @@ def import_depth(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFr
     return done.unionByName(stuck).unionByName(bad.select("node", F.lit(-1).alias("depth")))
 
 
+def _depths(pairs: list[tuple[str, str, int]]) -> list[tuple[str, int]]:
+    bad = {a for a, b, _ in pairs if a == b} | {n for c in _tarjan([(a, b) for a, b, _ in pairs]) if len(c) > 1 for n in c}
+    depth = {n: -1 if n in bad else 0 for a, b, _ in pairs for n in (a, b)}
+    left, after = dict.fromkeys(depth, 0), {}
+    for a, b, n in pairs:
+        left[b] += n
+        if b not in bad:
+            after.setdefault(a, []).append((b, n))
+    queue = [n for n in depth if n not in bad and not left[n]]
+    for a in queue:
+        for b, n in after.get(a, ()):
+            depth[b] = max(depth[b], depth[a] + 1)
+            left[b] -= n
+            if not left[b]:
+                queue.append(b)
+    return list(depth.items())
+
+
 class CycleError(ValueError):
     """The graph has a cycle."""
 
@@ -254,7 +276,7 @@ class CycleError(ValueError):
 def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, level): level by level, self-loops left out; a cycle is an error."""
     e = checkpoint(ends(edges, src, dst).where("src <> dst").distinct())
-    if not cyclic_core(e).isEmpty():
+    if not components(e).isEmpty():
         raise CycleError("the graph has a cycle")
     alone = nodes_of(edges, src, dst).join(nodes_of(e), "node", "left_anti").select("node", F.lit(0).alias("level"))
     return import_depth(e).select("node", F.col("depth").alias("level")).unionByName(alone)

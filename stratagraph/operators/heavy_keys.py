@@ -30,7 +30,7 @@ def heavy_names(calls: DataFrame, share: float = 0.01) -> DataFrame:
 
 
 def name_stats(calls: DataFrame) -> DataFrame:
-    """(field, fqn, n, partners, packages, sum_line, first_seen, last_seen) of every non-null name."""
+    """(field, fqn, n, partners, sum_line, first_seen, last_seen) of every non-null name."""
     sides = F.array(
         F.struct(F.lit("callee").alias("field"), F.col("callee").alias("fqn"), F.col("caller").alias("partner")),
         F.struct(F.lit("caller").alias("field"), F.col("caller").alias("fqn"), F.col("callee").alias("partner")),

@@ -70,23 +70,29 @@ def probe_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return types.join(hit, "fqn", "left").fillna(0)
 
 
-def scenario(nodes: DataFrame, edges: DataFrame, symbol: str, max_depth: int, stress: bool = False, top_n: int | None = None) -> dict[str, DataFrame] | None:
-    """Down- and upstream of a symbol within ``max_depth`` hops: {'downstream', 'upstream', 'edges'}; None for an unknown symbol or no depth."""
+def scenario(nodes: DataFrame, edges: DataFrame, symbol: str, max_depth: int, stress: bool = False, top_n: int | None = None, only: str | None = None) -> dict[str, DataFrame] | None:
+    """Down- and upstream of a symbol within ``max_depth`` hops: {'downstream', 'upstream', 'edges'}; None for an unknown symbol or no depth.
+
+    With ``only`` one of the two sides, that alone is searched.
+    """
     name = resolve_symbol(nodes, symbol) if max_depth > 0 else None
     if name is None:
         return None
     spark = edges.sparkSession
     seed = spark.createDataFrame([(name,)], "node string")
     e = edges.select("source", "target", "kind")
-    down = closure(e, seed, "source", "target", max_depth).where("depth > 0").select(F.col("node").alias("fqn"), "depth")
-    up = closure(e, seed, "target", "source", max_depth).where("depth > 0").select(F.col("node").alias("fqn"), (-F.col("depth")).alias("depth"))
-    down, up = checkpoint(down), checkpoint(up)
+    side = lambda a, b, sign: checkpoint(closure(e, seed, a, b, max_depth).where("depth > 0").select(F.col("node").alias("fqn"), (sign * F.col("depth")).alias("depth")))
+    nothing = seed.select(F.col("node").alias("fqn"), F.lit(0).alias("depth")).limit(0)
+    down = nothing if only == "upstream" else side("source", "target", 1)
+    up = nothing if only == "downstream" else side("target", "source", -1)
     leaf = down.join(e.select(F.col("source").alias("fqn")).distinct().withColumn("has", F.lit(True)), "fqn", "left").select("fqn", "depth", F.col("has").isNull().alias("leaf"))
     entry = up.join(e.select(F.col("target").alias("fqn")).distinct().withColumn("has", F.lit(True)), "fqn", "left").select("fqn", "depth", F.col("has").isNull().alias("entry"))
     if stress:
         out = e.groupBy(F.col("source").alias("fqn")).agg(F.count(F.lit(1)).alias("fan_out"))
         full = closure(e, down.select(F.col("fqn").alias("node")), "source", "target").groupBy(F.col("seed").alias("fqn")).agg((F.count(F.lit(1)) - 1).alias("downstream_count"))
         leaf = leaf.join(out, "fqn", "left").join(full, "fqn", "left").fillna(0, ["fan_out", "downstream_count"])
+    if only is not None:
+        return {only: (leaf if top_n is None else leaf.orderBy("depth", "fqn").limit(top_n)) if only == "downstream" else entry}
     seen = down.select("fqn").union(up.select("fqn")).union(seed).distinct()
     induced = e.join(seen.select(F.col("fqn").alias("source")), "source", "left_semi").join(seen.select(F.col("fqn").alias("target")), "target", "left_semi").select("source", "target", "kind")
     if top_n is not None:

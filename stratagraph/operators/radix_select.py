@@ -56,6 +56,7 @@ def percentiles(df: DataFrame, group: str, value: str, ps: Sequence[float], digi
     """(grp, p, n, value): exact percentiles of ``value`` per ``group``."""
     assert 64 % digit_bits == 0
     rows, kind = _keys(df, group, value)
+    rows = checkpoint(rows)  # every pass reads it: 8 bytes a value and its group
     mask = (1 << digit_bits) - 1
     p = F.explode(F.array(*[F.lit(float(x)) for x in ps]))
     targets = None

@@ -118,15 +118,15 @@ DOWN = f"down AS (SELECT node, min(depth) AS depth FROM (SELECT {PIVOT} AS node,
 UP = f"up AS (SELECT node, min(depth) AS depth FROM (SELECT {PIVOT} AS node, 0 AS depth UNION SELECT source, 1 FROM se WHERE target = {PIVOT} UNION SELECT b.source, 2 FROM se a JOIN se b ON a.source = b.target WHERE a.target = {PIVOT}) GROUP BY 1)"
 
 
-def _scenario(s: SparkSession, d: str) -> dict:
+def _scenario(s: SparkSession, d: str, only: str | None = None) -> dict:
     e = bind.simple_call_edges(s, d).withColumn("kind", F.lit("call"))
     name = _pivot(s, d)
     nodes = e.select(F.col("source").alias("fqn")).union(e.select("target")).distinct()
-    return primitives.scenario(nodes, e, name, 2)
+    return primitives.scenario(nodes, e, name, 2, only=only)
 
 
-query("scenario_downstream", f"WITH {SE}, {DOWN} SELECT node AS fqn, depth, node NOT IN (SELECT source FROM se) AS leaf FROM down WHERE depth > 0")(lambda s, d: _scenario(s, d)["downstream"])
-query("scenario_upstream", f"WITH {SE}, {UP} SELECT node AS fqn, -depth AS depth, node NOT IN (SELECT target FROM se) AS entry FROM up WHERE depth > 0")(lambda s, d: _scenario(s, d)["upstream"])
+query("scenario_downstream", f"WITH {SE}, {DOWN} SELECT node AS fqn, depth, node NOT IN (SELECT source FROM se) AS leaf FROM down WHERE depth > 0")(lambda s, d: _scenario(s, d, "downstream")["downstream"])
+query("scenario_upstream", f"WITH {SE}, {UP} SELECT node AS fqn, -depth AS depth, node NOT IN (SELECT target FROM se) AS entry FROM up WHERE depth > 0")(lambda s, d: _scenario(s, d, "upstream")["upstream"])
 query(
     "scenario_edges",
     f"WITH {SE}, {DOWN}, {UP}, seen AS (SELECT node FROM down UNION SELECT node FROM up) SELECT source, target, 'call' AS kind FROM se WHERE source IN (SELECT node FROM seen) AND target IN (SELECT node FROM seen)",

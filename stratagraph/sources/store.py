@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,3 +90,23 @@ class Notes:
         """(text, sha, stale)"""
         df = self.spark.read.parquet(self.root).where((F.col("scope") == scope) & (F.col("name") == name))
         return df.select("text", "sha", (F.col("sha") != current_sha).alias("stale"))
+
+
+class GraphCache:
+    """Graphs in the memory of the executors (and on their disks where that is short), by repository and commit; beyond ``most``, the one unused for longest goes."""
+
+    def __init__(self, most: int = 8):
+        self.most, self.held = most, {}
+
+    def get(self, repo: str, sha: str, build: Callable[[], DataFrame]) -> DataFrame:
+        df = self.held.pop((repo, sha), None)
+        if df is None:
+            df = build().persist()
+        self.held[repo, sha] = df
+        while len(self.held) > self.most:
+            self.held.pop(next(iter(self.held))).unpersist()
+        return df
+
+    def invalidate(self, repo: str) -> None:
+        for key in [k for k in self.held if k[0] == repo]:
+            self.held.pop(key).unpersist()

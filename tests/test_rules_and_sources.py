@@ -205,3 +205,17 @@ def test_model(spark):
     assert model.project_path({"Cargo.toml": '[package]\nname = "c"\n'}, "/x/y") == "c" and model.project_path({}, "/x/y/") == "y"
     f = spark.createDataFrame([("a", 10), ("a", 5), ("b", None)], "component string, lines int")
     assert rows(model.size_rollup(f, spark.createDataFrame([("a", 2), ("a", 4)], "component string, depth int"))) == [("a", 15, 4, 3.0), ("b", None, 0, 0.0)]
+
+
+def test_graph_cache(spark):
+    from stratagraph.sources.store import GraphCache
+
+    built, cache = [], GraphCache(most=2)
+    make = lambda i: lambda: built.append(i) or spark.range(i)
+    a = cache.get("r", "1", make(3))
+    assert cache.get("r", "1", make(4)) is a and a.count() == 3 and a.storageLevel.useMemory and built == [3]
+    cache.get("r", "2", make(5))
+    cache.get("q", "1", make(6))
+    assert cache.get("r", "1", make(7)).count() == 7 and built == [3, 5, 6, 7]
+    cache.invalidate("r")
+    assert list(cache.held) == [("q", "1")] and not a.storageLevel.useMemory
