@@ -9,7 +9,7 @@
    below as a single symbol; the units of a file are matched top down against the productions of their contexts.
 
 All windows share one exchange by file; a file's tokens were one record before, so no group is larger than a file. A token is one
-number (position, symbol, flags), so that exchange and sorts move 16 bytes a token.
+number (position, symbol, flags), so that exchange and sorts move few bytes a token.
 
 Defined cases: null sources are no case; the language follows from the extension of rel_path, or of path where rel_path
 is null, in any case of letters; other extensions are no case; empty sources are valid but for Go, which needs a
@@ -50,18 +50,18 @@ def languages_of(files: DataFrame) -> DataFrame:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """Token rows (row, tok, pair, lang, file_id, project) of files (row, file_id, project, lang, source).
+    """Token rows (row, tok, pair, file) of files (row, file_id, project, lang, source).
 
     tok is position, symbol and flags; pair the language, the symbol before and the symbol. The end of the file is a row of its
-    own, which alone carries the file's own columns: nothing has to be joined by the row's number.
+    own, which alone carries file (file_id, project, lang): nothing has to be joined by the row's number.
     """
     files = spread(files.select("row", "lang", "source", "file_id", "project"))
-    own = [files.schema["file_id"], files.schema["project"]]
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("tok", T.LongType()), T.StructField("pair", T.LongType()), T.StructField("lang", T.ByteType()), *own])
+    file = T.StructType([files.schema[c] for c in ("file_id", "project", "lang")])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("tok", T.LongType()), T.StructField("pair", T.LongType()), T.StructField("file", file)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int8(), batch.column("file_id").type, batch.column("project").type]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.struct([(c, batch.column(c).type) for c in ("file_id", "project", "lang")])]
             cols: list[list] = [[] for _ in kinds]
 
             def flush():
@@ -70,7 +70,7 @@ def tokens(files: DataFrame) -> DataFrame:
                     c.clear()
                 return out
 
-            for row, lang, source, *file in zip(*[c.to_pylist() for c in batch.columns]):
+            for row, lang, source, file_id, project in zip(*[c.to_pylist() for c in batch.columns]):
                 toks = lex(LANGUAGES[lang], source)
                 codes = [*[CODE[t[0]] for t in toks], CODE[END]]
                 n = len(codes)
@@ -78,9 +78,8 @@ def tokens(files: DataFrame) -> DataFrame:
                 cols[1] += [p << 20 | c << 4 | t[2] for p, (c, t) in enumerate(zip(codes, toks))]
                 cols[1].append((n - 1) << 20 | CODE[END] << 4)
                 cols[2] += [lang << 32 | a << 16 | b for a, b in zip([CODE[START], *codes], codes)]
-                cols[3] += [None] * (n - 1) + [lang]
-                for c, v in zip(cols[4:], file):
-                    c += [None] * (n - 1) + [v]
+                cols[3] += [None] * (n - 1)
+                cols[3].append({"file_id": file_id, "project": project, "lang": lang})
                 if len(cols[0]) > 50_000:
                     yield flush()
             if cols[0]:
@@ -129,7 +128,7 @@ def flagged(toks: DataFrame) -> DataFrame:
     pairs = F.broadcast(permissible_pairs(toks.sparkSession).withColumn("known", F.lit(True)))
     toks = toks.join(pairs, "pair", "left").withColumn("tok", F.col("tok").bitwiseOR(F.when(F.col("known").isNull(), F.lit(_STRAY)).otherwise(F.lit(0))))
     symbol = F.shiftright("tok", 4).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    toks = toks.select("row", "tok", "lang", "file_id", "project")
+    toks = toks.select("row", "tok", "file")
     d = F.when(symbol < _N, 1).when(symbol < 2 * _N, -1).otherwise(0)
     by_pos = Window.partitionBy("row").orderBy("tok")
     depth = F.sum(d).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
@@ -137,7 +136,7 @@ def flagged(toks: DataFrame) -> DataFrame:
     # An opener stands as a symbol in the group around it and opens the level of the group below.
     at = lambda level, edge: F.struct(level.alias("level"), F.lit(edge).alias("edge"))
     levels = F.explode(F.when(d > 0, F.array(at(F.col("depth") - 1, 0), at(F.col("depth"), 1))).when(d < 0, F.array(at(F.col("depth") + 1, -1))).otherwise(F.array(at(F.col("depth"), 0))))
-    rows = leveled.select("row", "tok", "lang", "file_id", "project", levels.alias("l")).select("row", "tok", "lang", "file_id", "project", "l.level", "l.edge", symbol.alias("sym"))
+    rows = leveled.select("row", "tok", "file", levels.alias("l")).select("row", "tok", "file", "l.level", "l.edge", symbol.alias("sym"))
     at_level = Window.partitionBy("row", "level").orderBy("tok", F.col("edge"))
     before = at_level.rowsBetween(Window.unboundedPreceding, -1)
     is_edge = F.col("edge") != 0
@@ -157,13 +156,13 @@ def flagged(toks: DataFrame) -> DataFrame:
         F.max((F.col("edge") <= 0) & (F.col("tok").bitwiseAND(F.lit(_STRAY)) != 0)).alias("stray"),  # an opener's pair belongs around it
         F.max(F.when(F.col("edge") <= 0, F.coalesce("grp", F.lit(-1)))).alias("grp"),
         F.sort_array(F.collect_list(F.when(~is_edge & ~ends, F.col("tok")))).alias("toks"),
-        *[F.max(c).alias(c) for c in ("lang", "file_id", "project")],
+        F.max("file").alias("file"),
     )
     # The last row of a file stands in a unit of its own level; a unit without tokens says nothing but that its pairs are stray.
     u = F.when((F.size("toks") > 0) | F.col("stray"), F.struct(F.coalesce("grp", F.lit(-1)).alias("grp"), "unit", "stray", "toks"))
-    per_file = units.withColumn("u", u).groupBy("row").agg(F.max("misfit").alias("misfit"), F.collect_list("u").alias("units"), *[F.max(c).alias(c) for c in ("lang", "file_id", "project")])
+    per_file = units.withColumn("u", u).groupBy("row").agg(F.max("misfit").alias("misfit"), F.collect_list("u").alias("units"), F.max("file").alias("file"))
     # Files with a misfit bracket go through without their units; they need no match.
-    slim = per_file.select("file_id", "project", "lang", "misfit", F.when(~F.col("misfit"), F.col("units")).alias("units"))
+    slim = per_file.select("file.*", "misfit", F.when(~F.col("misfit"), F.col("units")).alias("units"))
     schema = T.StructType([slim.schema["file_id"], slim.schema["project"], slim.schema["lang"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

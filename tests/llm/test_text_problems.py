@@ -225,10 +225,17 @@ def test_provenance(spark):
         (10, "p", "vendor/libx/j.go", hand, True), (11, "p", "vendors/x/k.go", hand, False), (12, "p", "l.go", "// Vendored from libx 1.2; local patches are listed.\n" + hand, True), (13, "p", "m.go", "// Formerly vendored from libx, rewritten since.\n" + hand, False),
         (14, "p", "third_party/libx/n.go", None, True), (15, None, None, None, False), (16, "p", "o.go", "", False), (17, "p", "q.go", hand + '\nconst key = "' + "Q" * 90 + '"\n', False), (18, "p", "r.go", "// Copyright (c) 2020 the libx authors.\n" + hand, True),
     ]
+    other = "package y\n\n" + "".join(f"func G{i}(a int) int {{\n{body()}\treturn a\n}}\n" for i in range(12))
+    # A library that no table knows is told by the rules that two projects share; twice in one project, it is the project's own.
+    rows += [(19, "p", "s.go", other, True), (20, "q", "t.go", other.replace("func G2", "func Other"), True)]
+    own = "package z\n\n" + "".join(f"func H{i}(a int) int {{\n{body()}\treturn a\n}}\n" for i in range(12))
+    rows += [(22, "p", "v.go", own, False), (23, "p", "w.go", own.replace("func H2", "func Other"), False)]
     df = spark.createDataFrame([(i, p, n, n, s, 1) for i, p, n, s, _ in rows] + [(2, "p", "./b.go", "b.go", getters, 1)], "file_id long, project string, path string, rel_path string, source string, generated int")
     tp = spark.createDataFrame([("libx", "src/x.go", lib), ("liby", None, None)], "lib string, rel_path string, source string")
     got = {r["file_id"] for r in provenance.not_handwritten(df, tp).collect()}
     assert got == {r[0] for r in rows if r[4]}
+    counts = {r["evidence"]: r for r in provenance.evidence_counts(df, tp).collect()}
+    assert counts["shared_rules"]["files"] >= 2 and counts["vendor_path"]["beyond_grammars"] == counts["vendor_path"]["files"] and counts["third_party_rules"]["beyond_grammars"] == 0
     assert provenance.not_handwritten(df.limit(0), tp).isEmpty() and {6} & {r["file_id"] for r in provenance.not_handwritten(df, tp.limit(0)).collect()} == set()
 
 
