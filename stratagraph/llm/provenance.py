@@ -11,7 +11,8 @@
   files apart whose tokens look like any other's. Only comments count, never strings that hold such words, and not notices that
   deny it or speak of the past.
 
-Long files are cut into blocks of 20,000 tokens, each with a grammar of its own, and their shares are added up.
+A file's tokens make one grammar, however long it is. Literals are measured in pieces of 4,000 symbols, as even chance repeats pairs in
+longer ones, so that the share means the same at every length.
 
 Defined cases: a null source leaves the path's evidence; null path and rel_path leave the source's; empty sources are hand-written;
 repeated rows and re-scans give one result row; a null file_id gives a null result id; a third-party table that is empty or has
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from ..runtime import checkpoint, lookup, spread
 from .repair_grammar import global_rules, infer, lengths, occurrences, tokens
 
-BLOCK = 20_000
+PIECE = 4_000
 #: Shares from which a file counts: of the best rule, of the best two, of incompressible literals, of third-party rules; characters a line.
 ONE_RULE, TWO_RULES, BLOB, COPY, LINE = 0.7, 0.72, 0.6, 0.5, 150
 #: Rules of so many tokens that several projects hold make a copy where they are this share of a file and so many tokens; shorter ones are shared by chance.
@@ -61,31 +62,26 @@ MINIFIED_PATH = r"(?i)\.(min|bundle)\.(js|css|mjs)$"
 
 def rule_shares(syms: list[str]) -> tuple[float, float]:
     """Shares of a file's tokens that its best rule, and its best two that do not hold each other, make up; of rules with at least 7 tokens that come at least 5 times."""
-    one = two = 0
-    for at in range(0, len(syms), BLOCK):
-        block = syms[at : at + BLOCK]
-        number: dict[str, int] = {}
-        seq, rules, terminals = infer(np.array([number.setdefault(s, len(number)) for s in block], np.int64))
-        size, times = lengths(rules, terminals), occurrences(seq, rules, terminals)
-        good = sorted((i for i in range(len(rules)) if size[i] >= 7 and times[i] >= 5), key=lambda i: (-times[i] * size[i], i))
-        if not good:
-            continue
-        best = good[0]
-        below: set[int] = set()
-        todo = [best]
-        while todo:
-            for x in rules[todo.pop()]:
-                if x >= terminals and x - terminals not in below:
-                    below.add(x - terminals)
-                    todo.append(x - terminals)
-        holds = [False] * len(rules)
-        for i, (a, b) in enumerate(rules):
-            holds[i] = i == best or any(x >= terminals and holds[x - terminals] for x in (a, b))
-        second = next((i for i in good[1:] if i not in below and not holds[i]), None)
-        one += int(times[best]) * size[best]
-        two += int(times[best]) * size[best] + (int(times[second]) * size[second] if second is not None else 0)
-    n = max(1, len(syms))
-    return one / n, two / n
+    number: dict[str, int] = {}
+    seq, rules, terminals = infer(np.array([number.setdefault(s, len(number)) for s in syms], np.int64))
+    size, times = lengths(rules, terminals), occurrences(seq, rules, terminals)
+    good = sorted((i for i in range(len(rules)) if size[i] >= 7 and times[i] >= 5), key=lambda i: (-times[i] * size[i], i))
+    if not good:
+        return 0.0, 0.0
+    best = good[0]
+    below: set[int] = set()
+    todo = [best]
+    while todo:
+        for x in rules[todo.pop()]:
+            if x >= terminals and x - terminals not in below:
+                below.add(x - terminals)
+                todo.append(x - terminals)
+    holds = [False] * len(rules)
+    for i, (a, b) in enumerate(rules):
+        holds[i] = i == best or any(x >= terminals and holds[x - terminals] for x in (a, b))
+    second = next((i for i in good[1:] if i not in below and not holds[i]), None)
+    one = int(times[best]) * size[best]
+    return one / len(syms), (one + (int(times[second]) * size[second] if second is not None else 0)) / len(syms)
 
 
 def blob_share(syms: list[str], literals: list[str], chars: int) -> float:
@@ -107,10 +103,10 @@ def hash_of(text: str) -> int:
 
 
 def incompressible(payload: list[int], least: float) -> bool:
-    """Whether the grammar of a payload keeps at least this share of its size."""
+    """Whether the grammars of a payload's pieces keep at least this share of its size."""
     kept = 0
-    for at in range(0, len(payload), 4_000):
-        _, codes = np.unique(np.array(payload[at : at + 4_000], np.int64), return_inverse=True)
+    for at in range(0, len(payload), PIECE):
+        _, codes = np.unique(np.array(payload[at : at + PIECE], np.int64), return_inverse=True)
         seq, rules, _ = infer(codes)
         kept += len(seq) + 2 * len(rules)
     return kept >= least * len(payload)

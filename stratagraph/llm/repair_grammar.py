@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -56,31 +57,71 @@ def tokens(source: str, hash_comments: bool) -> tuple[list[str], list[tuple[int,
 
 
 def infer(codes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], int]:
-    """(final sequence, rules, number of terminals): the most frequent pair (of equal ones, that of the smallest numbers) becomes a rule, until no pair comes twice."""
-    k = int(codes.max()) + 1 if len(codes) else 1
-    seq, rules, terminals = codes.astype(np.int64), [], k
-    while len(seq) > 1:
-        pair = (seq[:-1] << 32) | seq[1:]
-        values, counts = np.unique(pair, return_counts=True)
-        idx = np.empty(0, np.int64)
-        for best in np.argsort(-counts, kind="stable"):
-            if counts[best] < 2:
-                break
-            idx = np.flatnonzero(pair == values[best])
-            if idx[-1] - idx[0] == len(idx) - 1:  # one run of the same symbol: every second hit counts
-                idx = idx[::2]
-            elif (np.diff(idx) == 1).any():
-                start = np.concatenate(([True], np.diff(idx) > 1))
-                idx = idx[(idx - idx[start][np.cumsum(start) - 1]) % 2 == 0]
-            if len(idx) > 1:
-                break
-        if len(idx) < 2:
+    """(final sequence, rules, number of terminals): the most frequent pair (of equal ones, that of the smallest numbers) becomes a rule, until no pair comes twice.
+
+    Places of each pair are kept up to date along a linked list, and the pairs in a heap whose outdated entries are passed by, so the
+    time grows with the length times its logarithm.
+    """
+    k = terminals = int(codes.max()) + 1 if len(codes) else 1
+    seq: list[int] = codes.tolist()
+    n = len(seq)
+    rules: list[tuple[int, int]] = []
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    at: dict[tuple[int, int], set[int]] = {}
+    for i in range(n - 1):
+        at.setdefault((seq[i], seq[i + 1]), set()).add(i)
+    heap = [(-len(v), p) for p, v in at.items() if len(v) > 1]
+    heapq.heapify(heap)
+    while heap:
+        waiting, places, pair = [], [], None
+        while heap and pair is None:
+            c, p = heapq.heappop(heap)
+            here = at.get(p, ())
+            if len(here) != -c:
+                continue
+            places = sorted(here)
+            if p[0] == p[1]:  # in a run of the same symbol every second hit counts
+                hits, places, last = places, [], -1
+                for i in hits:
+                    if i != last:
+                        places.append(i)
+                        last = after[i]
+            if len(places) > 1:
+                pair = p
+            else:
+                waiting.append((c, p))
+        if pair is None:
             break
-        rules.append((int(seq[idx[0]]), int(seq[idx[0] + 1])))
-        seq[idx] = k
-        seq = np.delete(seq, idx + 1)
+        a, b = pair
+        rules.append(pair)
+        changed = {pair}
+        for i in places:
+            j, h = after[i], before[i]
+            far = after[j]
+            at[pair].discard(i)
+            if h >= 0:
+                at[seq[h], a].discard(h)
+                changed.add((seq[h], a))
+            if far < n:
+                at[b, seq[far]].discard(j)
+                changed.add((b, seq[far]))
+                before[far] = i
+            seq[i], seq[j], after[i] = k, -1, far
+            if h >= 0:
+                at.setdefault((seq[h], k), set()).add(h)
+                changed.add((seq[h], k))
+            if far < n:
+                at.setdefault((k, seq[far]), set()).add(i)
+                changed.add((k, seq[far]))
+        for p in changed:
+            if len(at[p]) > 1:
+                heapq.heappush(heap, (-len(at[p]), p))
+            elif not at[p]:
+                del at[p]
+        for w in waiting:
+            heapq.heappush(heap, w)
         k += 1
-    return seq, rules, terminals
+    return np.array([x for x in seq if x >= 0], np.int64), rules, terminals
 
 
 def lengths(rules: list[tuple[int, int]], terminals: int) -> list[int]:
