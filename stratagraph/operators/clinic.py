@@ -126,9 +126,10 @@ def solid_scan(*violations: DataFrame) -> dict[str, DataFrame]:
     return {"violations": u.orderBy(severity_rank(F.col("severity")), "component", "principle", "reason"), "summary": u.groupBy("principle").agg(F.count(F.lit(1)).alias("n"))}
 
 
-def pattern_scan(edges: DataFrame, accepted: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(pattern, component, confidence): members of cycles of two or more, and pairs that import each other."""
-    circ = cycle_members(edges, src, dst).select(F.lit("circular_dependency").alias("pattern"), F.col("node").alias("component"), F.lit(1.0).alias("confidence"))
+def pattern_scan(edges: DataFrame, cycles: DataFrame | None = None, accepted: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(pattern, component, confidence): members of cycles of two or more (of those given, column cycle, a->b->c, else of all), and pairs that import each other."""
+    on = cycle_members(edges, src, dst).select(F.col("node").alias("component")) if cycles is None else cycles.where("len > 1").select(F.explode(F.split("cycle", "->")).alias("component")).distinct()
+    circ = on.select(F.lit("circular_dependency").alias("pattern"), "component", F.lit(1.0).alias("confidence"))
     close = two_cycles(edges, src, dst).select(F.lit("inappropriate_intimacy").alias("pattern"), F.col("a").alias("component"), F.lit(0.9).alias("confidence")).distinct()
     u = circ.unionByName(close)
     return u if accepted is None else u.join(accepted.select("component", F.col("principle").alias("pattern")), ["component", "pattern"], "left_anti").select("pattern", "component", "confidence")

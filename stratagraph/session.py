@@ -53,7 +53,7 @@ class Session:
             "impact": lambda component, **_: impact.impact(self.t.edges, self.t.components).where(F.col("component") == component),
             "symbol_graph": lambda **_: self.t.calls,
             "pipelines": lambda min_length=3, **_: self._pipelines(int(min_length)),
-            "pattern_scan": lambda **_: clinic.pattern_scan(self.t.edges, self.t.accepted),
+            "pattern_scan": lambda **_: clinic.pattern_scan(self.t.edges, accepted=self.t.accepted),
             "pattern_catalog": lambda filter="", **_: clinic.pattern_catalog(self.spark, filter),
             "hexa_validate": lambda **_: clinic.hexa_violations(self.t.edges, self.roles()),
             "solid_scan": lambda **_: self._solid()["violations"],
