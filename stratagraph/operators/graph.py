@@ -118,12 +118,20 @@ def bfs_group(edges: DataFrame, start: str, src: str = "src", dst: str = "dst")
     return c.select("node", "depth", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node")).alias("ord"))
 
 
-def weak_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
-    """(node, label): the smallest name of each weak component, by label passing with pointer jumping. Listed nodes without edges stand alone."""
-    e = checkpoint(undirected(edges, src, dst).where("src <> dst"))
+def weak_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, small: int = SMALL) -> DataFrame:
+    """(node, label): the smallest name of each weak component. Listed nodes without edges stand alone.
+
+    Graphs of at most ``small`` edges are labelled at once, larger ones by label passing with pointer jumping.
+    """
+    plain = ends(edges, src, dst)
     base = nodes_of(edges, src, dst)
     if nodes is not None:
         base = base.union(nodes.select("node")).distinct()
+    pairs = fetch_small(plain.where("src <> dst"), small)
+    if pairs is not None:
+        known = edges.sparkSession.createDataFrame(list(_joined(pairs).items()), "node string, label string")
+        return base.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    e = checkpoint(undirected(edges, src, dst).where("src <> dst"))
     labels = checkpoint(base.select("node", F.col("node").alias("label")))
     while True:
         near = e.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
@@ -137,6 +145,22 @@ def weak_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes:
             return labels
 
 
+def _joined(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """Each node's smallest companion: sets of nodes are merged edge by edge."""
+    up: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in up}
+
+
 def component_count(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(components): weak components over the listed nodes alone."""
     n = nodes.select("node").distinct()

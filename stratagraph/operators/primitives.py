@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import instability, package_of
 from ..runtime import checkpoint
-from .graph import closure, component_count, ends, nodes_of, resolve_symbol
+from .graph import SMALL, closure, component_count, ends, fetch_small, nodes_of, resolve_symbol
 
 TYPE_KINDS = ("struct", "interface")
 
@@ -133,10 +133,27 @@ def islands(nodes: DataFrame, edges: DataFrame, entries: DataFrame | None = None
     return nodes.select("fqn").join(reach_from(edges, start).select(F.col("node").alias("fqn")), "fqn", "left_anti")
 
 
-def reach_from(edges: DataFrame, start: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
-    """(node): the union of the closures of all start nodes; one state a node, whatever the number of starts."""
+def reach_from(edges: DataFrame, start: DataFrame, src: str = "source", dst: str = "target", small: int = SMALL) -> DataFrame:
+    """(node): the union of the closures of all start nodes; one state a node, whatever the number of starts.
+
+    Where there are at most ``small`` edges and starts, they are searched at once, otherwise by one join a hop.
+    """
     e = ends(edges, src, dst).distinct()
     frontier = checkpoint(start.select("node").where("node IS NOT NULL").distinct())
+    first = frontier.limit(small + 1).collect()
+    pairs = fetch_small(e, small) if len(first) <= small else None
+    if pairs is not None:
+        after: dict[str, list[str]] = {}
+        for a, b in pairs:
+            after.setdefault(a, []).append(b)
+        seen = dict.fromkeys(r["node"] for r in first)
+        todo = list(seen)
+        for a in todo:
+            for b in after.get(a, ()):
+                if b not in seen:
+                    seen[b] = None
+                    todo.append(b)
+        return edges.sparkSession.createDataFrame([(n,) for n in seen], "node string")
     parts = [frontier]
     while True:
         step = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()

@@ -86,7 +86,12 @@ def test_random_graphs(spark, seed):
     assert rows(cycles.components(df)) == several and rows(cycles.components(df, small=0)) == several
     und = {(a, b) for a, b in edges} | {(b, a) for a, b in edges}
     _, _, ur = brute(sorted(und))
-    assert rows(graph.weak_components(df)) == sorted((n, min(ur[n])) for n in nodes)
+    want = sorted((n, min(ur[n])) for n in nodes)
+    assert rows(graph.weak_components(df)) == want and rows(graph.weak_components(df, small=0)) == want
+    starts = df.select(F.col("src").alias("node")).distinct().orderBy("node").limit(2)
+    first = [r[0] for r in rows(starts)]
+    want = sorted((n,) for n in {m for f in first for m in reach[f]})
+    assert rows(primitives.reach_from(df, starts, "src", "dst")) == want and rows(primitives.reach_from(df, starts, "src", "dst", small=0)) == want
 
 
 def test_depth_and_order(spark):
