@@ -255,6 +255,37 @@ def go_signature(signature: Column) -> tuple[Column, Column]:
     return types, split_types(F.regexp_replace(r, r"^\((.*)\)$", "$1"))
 
 
+_PARENS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+
+
+def signature_types(signature: Column) -> tuple[Column, Column]:
+    """(parameter types, return types) of a signature in the style that its first word tells: function (TypeScript), func (Go), def (Python), fn or
+    pub fn (Rust), else a type before the name (C). Parameters without a type are left out, and returns that say nothing; null without brackets."""
+    s = F.trim(signature)
+    inner = F.regexp_replace(F.regexp_extract(s, _PARENS, 0), r"^\(|\)$", "")
+    rest = F.trim(F.regexp_replace(s, r"^[^(]*" + _PARENS, ""))
+    parts = split_types(inner)
+    none = F.expr("cast(array() as array<string>)")
+    after = lambda colon: F.transform(F.filter(parts, lambda p: p.contains(":")), lambda p: F.trim(F.regexp_replace(p, colon, "")))
+    one = lambda x, *empty: F.when(x.isin("", *empty), none).otherwise(F.array(x))
+    arrow = F.trim(F.regexp_extract(rest, r"->(.*)$", 1))
+    before_last = lambda x: F.when(x.rlike(r"\S\s+\S"), F.array_join(F.split(F.regexp_replace(x, r"\s+\S+$", ""), r"\s+"), " "))
+    head = F.trim(F.regexp_extract(s, r"^([^(]*)\(", 1))
+    typed_before = F.transform(F.filter(parts, lambda p: p != "void"), lambda p: F.coalesce(before_last(p), p))
+    go_p, go_r = go_signature(s)
+    styles = [
+        (s.startswith("function "), after(r"^[^:]*:"), one(F.trim(F.regexp_extract(rest, r"^:(.*)$", 1)), "void")),
+        (s.startswith("func"), go_p, go_r),
+        (s.startswith("def "), after(r"^.*:"), one(arrow, "None")),
+        (s.startswith("fn ") | s.startswith("pub fn "), after(r"^[^:]*:"), one(arrow, "()")),
+    ]
+    params, returns = typed_before, one(F.coalesce(before_last(head), F.lit("")), "void")
+    for is_style, p, r in reversed(styles):
+        params, returns = F.when(is_style, p).otherwise(params), F.when(is_style, r).otherwise(returns)
+    known = s.contains("(")
+    return F.when(known, params), F.when(known, returns)
+
+
 def state_machines(files: DataFrame) -> DataFrame:
     """(path, name, states, initial): groups of at least three constants counted by iota, the initial one by its name, else the first."""
     block = F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)^const \(\s*\n(\s*\w+ \w+ = iota\b.*?)^\)"), F.lit(1)))

@@ -219,3 +219,22 @@ def test_graph_cache(spark):
     assert cache.get("r", "1", make(7)).count() == 7 and built == [3, 5, 6, 7]
     cache.invalidate("r")
     assert list(cache.held) == [("q", "1")] and not a.storageLevel.useMemory
+
+
+def test_signatures_of_five_languages(spark):
+    cases = [
+        ("func Run(x int, ys []string) (*Result, error)", ["int", "[]string"], ["*Result", "error"]),
+        ("def load_config(self, path: str, opts: dict[str, int] = None, *rest) -> dict", ["str", "dict[str, int] = None"], ["dict"]),
+        ("def go(x) -> None", [], []),
+        ("function loadConfig(path: string, cb: (a: number, b: string) => void): Promise<Map<string, X>>", ["string", "(a: number, b: string) => void"], ["Promise<Map<string, X>>"]),
+        ("function go(x: T): void", ["T"], []),
+        ("pub fn load_config(&mut self, path: &str, m: HashMap<K, V>) -> Result<Config, E>", ["&str", "HashMap<K, V>"], ["Result<Config, E>"]),
+        ("fn go() -> ()", [], []),
+        ("static Config loadConfig(const std::string &path, int n)", ["const std::string", "int"], ["static Config"]),
+        ("void go(void)", [], []),
+        ("int x", None, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)] + [(99, None)], "i int, s string")
+    p, r = scanners.signature_types(F.col("s"))
+    got = {x["i"]: (x["p"], x["r"]) for x in df.select("i", p.alias("p"), r.alias("r")).collect()}
+    assert got == {i: (c[1], c[2]) for i, c in enumerate(cases)} | {99: (None, None)}
